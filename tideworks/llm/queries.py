@@ -22,6 +22,12 @@ def op1_suffix_array_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition_figures(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op2_debruijn_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tideworks.llm.debruijn import remove_repeats
+
+    return remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("mark")
+
+
 def op3_digest_cache_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tideworks.llm.tokencounts import token_counts
 
@@ -41,6 +47,6 @@ def op10_target_weight_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_array_quality, op3_digest_cache_token_counts, op6_rank_array_bpe, op10_target_weight_mix)}
+QUERIES = {f.__name__: f for f in (op1_suffix_array_quality, op2_debruijn_substring_dedup, op3_digest_cache_token_counts, op6_rank_array_bpe, op10_target_weight_mix)}
 
 SQL: dict[str, str] = {}
