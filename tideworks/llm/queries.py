@@ -40,6 +40,12 @@ def op6_rank_array_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op7_bayes_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tideworks.llm.jaccard import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_target_weight_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tideworks.llm.mixing import mix_plan
 
@@ -47,6 +53,6 @@ def op10_target_weight_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_array_quality, op2_debruijn_substring_dedup, op3_digest_cache_token_counts, op6_rank_array_bpe, op10_target_weight_mix)}
+QUERIES = {f.__name__: f for f in (op1_suffix_array_quality, op2_debruijn_substring_dedup, op3_digest_cache_token_counts, op6_rank_array_bpe, op7_bayes_jaccard_join, op10_target_weight_mix)}
 
 SQL: dict[str, str] = {}
