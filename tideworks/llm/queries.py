@@ -34,6 +34,12 @@ def op3_digest_cache_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame
     return token_counts(_table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op4_tag_path_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tideworks.llm.tagpaths import extract
+
+    return extract(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op6_rank_array_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tideworks.llm.bpe import encode_decode
 
@@ -53,6 +59,6 @@ def op10_target_weight_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_array_quality, op2_debruijn_substring_dedup, op3_digest_cache_token_counts, op6_rank_array_bpe, op7_bayes_jaccard_join, op10_target_weight_mix)}
+QUERIES = {f.__name__: f for f in (op1_suffix_array_quality, op2_debruijn_substring_dedup, op3_digest_cache_token_counts, op4_tag_path_ratios, op6_rank_array_bpe, op7_bayes_jaccard_join, op10_target_weight_mix)}
 
 SQL: dict[str, str] = {}
