@@ -69,53 +69,63 @@ def subtract(a: Column, b: Column) -> Column:
     return F.zip_with(a, b, lambda x, y: _cell(x["n"] - y["n"], x["k"].bitwiseXOR(y["k"]), x["c"].bitwiseXOR(y["c"])))
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed once: an argument of a lambda is, a repeated expression is not."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _filled(cells: Column) -> Column:
+    return F.exists(cells, lambda x: (x["n"] != 0) | (x["k"] != 0))
+
+
+def _single(cells: Column) -> Column:
+    """The cells that hold one digest, each digest once."""
+    return F.array_distinct(F.filter(cells, lambda x: (F.abs(x["n"]) == 1) & (x["c"] == _check(x["k"]))))
+
+
 def peel(cells: Column, s: Sketch) -> Column:
     """Of a difference of two tables: (only_a, only_b), the numbers of digests found, or null if cells stay filled."""
 
-    def strip(state: Column, pure: Column) -> Column:
+    def strip(state: Column) -> Column:
+        """Take the digests found last from all cells, and look for those that this uncovers."""
+
         def less(x: Column, at: Column) -> Column:
-            def take(acc: Column, p: Column) -> Column:
-                hit = F.lit(False)
-                for i in range(3):
-                    hit = hit | (at == _place(p["k"], i, s) + i * s.part)
-                return F.when(hit, _cell(acc["n"] - p["n"], acc["k"].bitwiseXOR(p["k"]), acc["c"].bitwiseXOR(p["c"]))).otherwise(acc)
-
-            return F.aggregate(state["pure"], x, take)
-
-        # Take the digests found last from all cells, and look for those that this uncovers.
-        stripped = F.transform(state["cells"], less)
-        return F.struct(
-            stripped.alias("cells"),
-            F.array_distinct(F.filter(stripped, lambda x: (F.abs(x["n"]) == 1) & (x["c"] == _check(x["k"])))).alias("pure"),
-            (state["only_a"] + F.size(F.filter(state["pure"], lambda x: x["n"] > 0))).alias("only_a"),
-            (state["only_b"] + F.size(F.filter(state["pure"], lambda x: x["n"] < 0))).alias("only_b"),
-            (F.size(state["pure"]) == 0).alias("done"),
-        )
-
-    first = F.array_distinct(F.filter(cells, lambda x: (F.abs(x["n"]) == 1) & (x["c"] == _check(x["k"]))))
-    start = F.struct(cells.alias("cells"), first.alias("pure"), F.lit(0).alias("only_a"), F.lit(0).alias("only_b"), F.lit(False).alias("done"))
-    walk = lambda state, _: F.when(state["done"], state).otherwise(strip(state, state["pure"]))
-    finish = lambda state: F.when(~F.exists(state["cells"], lambda x: (x["n"] != 0) | (x["k"] != 0)), F.struct(state["only_a"].alias("only_a"), state["only_b"].alias("only_b")))
+            i = F.shiftright(at, s.part.bit_length() - 1)
+            inner = at.bitwiseAND(F.lit(s.part - 1))
+            hit = lambda p: F.when(i == 0, _place(p["k"], 0, s)).when(i == 1, _place(p["k"], 1, s)).otherwise(_place(p["k"], 2, s)) == inner
+            take = lambda acc, p: F.when(hit(p), _cell(acc["n"] - p["n"], acc["k"].bitwiseXOR(p["k"]), acc["c"].bitwiseXOR(p["c"]))).otherwise(acc)
+            return F.when(x["n"] == 0, F.when(x["k"] == 0, x).otherwise(F.aggregate(state["pure"], x, take))).otherwise(F.aggregate(state["pure"], x, take))
+
+        plus = lambda name, test: (state[name] + F.size(F.filter(state["pure"], test))).alias(name)
+        return _let(F.transform(state["cells"], less), lambda rest: F.struct(rest.alias("cells"), _single(rest).alias("pure"), plus("only_a", lambda x: x["n"] > 0), plus("only_b", lambda x: x["n"] < 0)))
+
+    start = _let(cells, lambda x: F.struct(x.alias("cells"), _single(x).alias("pure"), F.lit(0).alias("only_a"), F.lit(0).alias("only_b")))
+    walk = lambda state, _: F.when(F.size(state["pure"]) == 0, state).otherwise(strip(state))
+    finish = lambda state: F.when(~_filled(state["cells"]), F.struct(state["only_a"].alias("only_a"), state["only_b"].alias("only_b")))
     return F.aggregate(F.sequence(F.lit(1), F.lit(s.rounds)), start, walk, finish)
 
 
 def differing(a: Column, b: Column, s: Sketch) -> Column:
     """(only_a, only_b) of two arrays of distinct digests by tables, split in four where peeling fails.
 
-    After the last split, of 4**splits parts, what still shares cells is compared exactly.
+    After the last split, into 4**splits parts, what still shares cells is compared exactly.
     """
 
     def level(x: Column, y: Column, depth: int) -> Column:
         if depth > s.splits:
             return F.struct(F.size(F.array_except(x, y)).alias("only_a"), F.size(F.array_except(y, x)).alias("only_b"))
-        bits: Callable[[Column], Column] = lambda k: F.shiftrightunsigned(k, 48 + 2 * depth).bitwiseAND(F.lit(3)).cast("int")
+        bits: Callable[[Column], Column] = lambda k: F.shiftrightunsigned(k, 62 - 2 * depth).cast("int")
+        low: Callable[[Column], Column] = lambda k: bits(k).bitwiseAND(F.lit(3))
 
         def add(acc: Column, q: Column) -> Column:
-            sub = level(F.filter(x, lambda k: bits(k) == q), F.filter(y, lambda k: bits(k) == q), depth + 1)
-            return F.transform(F.array(sub), lambda r: F.struct((acc["only_a"] + r["only_a"]).alias("only_a"), (acc["only_b"] + r["only_b"]).alias("only_b")))[0]
+            sub = lambda v: level(v["x"], v["y"], depth + 1)
+            parts = F.struct(F.filter(x, lambda k: low(k) == q).alias("x"), F.filter(y, lambda k: low(k) == q).alias("y"))
+            return _let(_let(parts, sub), lambda r: F.struct((acc["only_a"] + r["only_a"]).alias("only_a"), (acc["only_b"] + r["only_b"]).alias("only_b")))
 
         zero = F.struct(F.lit(0).alias("only_a"), F.lit(0).alias("only_b"))
-        return F.coalesce(peel(subtract(table(x, s), table(y, s)), s), F.aggregate(F.sequence(F.lit(0), F.lit(3)), zero, add))
+        # A first table has a cell for each digest of both; more are split before any is tried.
+        tried = F.when(F.size(x) + F.size(y) <= 3 * s.part, peel(subtract(table(x, s), table(y, s)), s))
+        return F.coalesce(tried, F.aggregate(F.sequence(F.lit(0), F.lit(3)), zero, add))
 
     return level(a, b, 0)
 
@@ -123,7 +133,7 @@ def differing(a: Column, b: Column, s: Sketch) -> Column:
 def likeness(a: Column, b: Column, s: Sketch) -> Column:
     """Shared share of the paragraphs of both, from the sizes of what differs; 1 if neither has any."""
     shared = lambda d: F.when(F.size(a) + d["only_b"] == 0, F.lit(1.0)).otherwise((F.size(a) - d["only_a"]) / (F.size(a) + d["only_b"]))
-    return F.transform(F.array(differing(a, b, s)), shared)[0]
+    return _let(differing(a, b, s), shared)
 
 
 def fingerprint(keys: Column, s: Sketch) -> Column:
