@@ -52,6 +52,12 @@ def op7_bayes_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op8_licence_sentence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tideworks.llm.licences import licence_rules
+
+    return licence_rules(_table(spark, sf_dir, "documents"))
+
+
 def op9_paragraph_iblt(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tideworks.llm.paragraphsketch import version_fingerprints
 
@@ -65,6 +71,13 @@ def op10_target_weight_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_array_quality, op2_debruijn_substring_dedup, op3_digest_cache_token_counts, op4_tag_path_ratios, op6_rank_array_bpe, op7_bayes_jaccard_join, op9_paragraph_iblt, op10_target_weight_mix)}
+QUERIES = {f.__name__: f for f in (op1_suffix_array_quality, op2_debruijn_substring_dedup, op3_digest_cache_token_counts, op4_tag_path_ratios, op6_rank_array_bpe, op7_bayes_jaccard_join, op8_licence_sentence_rules, op9_paragraph_iblt, op10_target_weight_mix)}
+
+
+def _sql() -> dict[str, str]:
+    from tideworks.llm import licences
+
+    return {"op8_licence_sentence_rules": licences.duckdb_sql()}
+
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = _sql()
