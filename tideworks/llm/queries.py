@@ -40,6 +40,12 @@ def op4_tag_path_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
+def op5_pitman_yor_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tideworks.llm.pitmanyor import scores
+
+    return scores(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_rank_array_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tideworks.llm.bpe import encode_decode
 
@@ -71,7 +77,7 @@ def op10_target_weight_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_array_quality, op2_debruijn_substring_dedup, op3_digest_cache_token_counts, op4_tag_path_ratios, op6_rank_array_bpe, op7_bayes_jaccard_join, op8_licence_sentence_rules, op9_paragraph_iblt, op10_target_weight_mix)}
+QUERIES = {f.__name__: f for f in (op1_suffix_array_quality, op2_debruijn_substring_dedup, op3_digest_cache_token_counts, op4_tag_path_ratios, op5_pitman_yor_scores, op6_rank_array_bpe, op7_bayes_jaccard_join, op8_licence_sentence_rules, op9_paragraph_iblt, op10_target_weight_mix)}
 
 
 def _sql() -> dict[str, str]:
