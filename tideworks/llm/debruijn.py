@@ -297,3 +297,19 @@ def remove_repeats(docs: DataFrame, k: int = 13, *, m: int = 5, with_text: bool
         if not out.agg(F.sum("_wrong")).first()[0]:
             return out.drop("_wrong")
     raise RuntimeError(f"windows of different words shared a hash under {seeds} seeds")
+
+
+def without_repeats(docs: DataFrame, k: int = 13, *, n_chars: str = "n_chars") -> DataFrame:
+    """docs with the words that remove_repeats removes taken out of ``text``, and n_chars (if there is one) made to fit.
+
+    A text that loses words becomes its other words joined by one space; one left without words becomes empty.  Texts
+    that lose none, null ones included, stay as they are, and every row stays.
+    """
+    kept = remove_repeats(docs, k, with_text=True).where("n_removed > 0").groupBy(*KEYS).agg(F.first("kept_text").alias("_kept"))
+    mark = F.xxhash64("text").bitwiseAND(F.lit(0xFFFFFFFF))
+    marked = docs.withColumns({"_id": F.col("doc_id").cast("long"), "_mark": mark})
+    joined = marked.join(kept.withColumnsRenamed({"doc_id": "_kid", "mark": "_kmark"}).hint("shuffle_hash"), (F.col("_id") == F.col("_kid")) & (F.col("_mark") == F.col("_kmark")), "left")
+    changed = {"text": F.coalesce("_kept", "text")}
+    if n_chars in docs.columns:
+        changed[n_chars] = F.when(F.col("_kept").isNotNull(), F.char_length("_kept").cast(docs.schema[n_chars].dataType)).otherwise(F.col(n_chars))
+    return joined.withColumns(changed).select(*docs.columns)
