@@ -10,6 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tideworks.llm.bpe import encode_decode
+from tideworks.llm.debruijn import without_repeats
+from tideworks.llm.jaccard import without_near_duplicates
 from tideworks.llm.mixing import mixed
 from tideworks.llm.queries import tokenizer_path
 from tideworks.llm.repetition import repetition_figures
@@ -23,6 +25,16 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return repetition_figures(docs, passed_only=True)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near duplicates the document with the least doc_id stays."""
+    return without_near_duplicates(docs)
+
+
+def shared_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Words of 13-word windows that an earlier document has go; a text that loses none stays as it is."""
+    return without_repeats(docs)
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as its source's target asks for."""
     return mixed(docs)
@@ -33,7 +45,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return encode_decode(docs, tokenizer_path("word_bpe_49k.json"))
 
 
-STAGES: list[tuple[str, Stage]] = [("quality", quality), ("mix", mix), ("encode", encode)]
+STAGES: list[tuple[str, Stage]] = [("quality", quality), ("near_duplicates", near_duplicates), ("shared_passages", shared_passages), ("mix", mix), ("encode", encode)]
 
 #: SQL has no suffix arrays or BPE; tests hold run() against a brute-force version.
 ORACLE_SQL = None
