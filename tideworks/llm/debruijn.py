@@ -253,9 +253,10 @@ def _remove(k: int, with_text: bool):
                 out, where = tb.join_words(w, keep)
                 view = memoryview(np.ascontiguousarray(out))
                 hexes += [hashlib.sha256(view[a:b]).hexdigest() for a, b in zip(where[:-1].tolist(), where[1:].tolist(), strict=True)]
+                lost = np.bincount(w.doc[~keep], minlength=j - i)
                 if with_text:
-                    texts += [bytes(view[a:b]).decode() for a, b in zip(where[:-1].tolist(), where[1:].tolist(), strict=True)]
-                removed.append(np.bincount(w.doc[~keep], minlength=j - i))
+                    texts += [bytes(view[a:b]).decode() if x else None for a, b, x in zip(where[:-1].tolist(), where[1:].tolist(), lost.tolist(), strict=True)]
+                removed.append(lost)
                 total.append(w.counts)
                 wrong.append(bad)
             if not removed:
@@ -271,7 +272,7 @@ def _remove(k: int, with_text: bool):
 
 
 def remove_repeats(docs: DataFrame, k: int = 13, *, m: int = 5, with_text: bool = False, seeds: int = 4) -> DataFrame:
-    """doc_id, mark, n_words, n_removed, kept_sha256 (and kept_text) of each row of docs.
+    """doc_id, mark, n_words, n_removed, kept_sha256 (and kept_text, null if nothing is removed) of each row of docs.
 
     Each word covered by a window of k words that also starts in a document with a smaller doc_id is removed; windows
     are judged on the input.  Null and empty texts have no words.  A null doc_id is smaller than none and larger than
