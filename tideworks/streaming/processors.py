@@ -36,7 +36,9 @@ class WinningBid(StatefulProcessor):
 
     @staticmethod
     def _best(auction: Any, bids: list) -> list:
-        valid = [b for b in bids if b[1] >= auction[2] and auction[3] <= b[2] < auction[4]]
+        if None in auction:
+            return []
+        valid = [b for b in bids if None not in b and b[1] >= auction[2] and auction[3] <= b[2] < auction[4]]
         return [min(valid, key=lambda b: (-b[1], b[2], b[0]))] if valid else []
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:

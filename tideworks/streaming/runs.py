@@ -22,7 +22,8 @@ def streamed(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table as a stream, followed by rows far ahead that close the last windows; event types are each sent ahead."""
     path = f"{sf_dir}/{name}.parquet"
     schema = spark.read.parquet(path).schema
-    source = spark.readStream.schema(schema).parquet(path)
+    # A pattern, for the stream source takes a plain path for a folder, and a table may be one file.
+    source = spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parque[t]")
     if name not in TIMES:
         return source
     ahead = {TIMES[name]: F.lit(FAR).cast("timestamp_ntz")}
