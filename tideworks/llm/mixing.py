@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 WORD = "[^\\x20\\x09-\\x0D]+"
-UNIT = 1 << 52
 
 
 def word_count(text: Column) -> Column:
@@ -49,8 +48,9 @@ def source_targets(sizes: DataFrame, weights: Sequence[int], share_percent: int,
 
 
 def draw(seed: int, *identity: Column) -> Column:
-    """A number in [0, 1) from a hash of the identity: the same in every run and on every executor."""
-    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *identity), 12).cast("double") / F.lit(float(UNIT))
+    """A number in [0, 1) from a hash of the identity: the same in every run, on every executor and in other engines."""
+    key = F.concat_ws("/", F.lit(str(seed)), *[F.coalesce(c.cast("string"), F.lit("")) for c in identity])
+    return F.conv(F.substring(F.md5(key), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
 def mix_plan(docs: DataFrame, *, size: Column | None = None, source: str = "source", identity: Sequence[str] = ("doc_id",), weights: Sequence[int] = (5, 2, 1), share_percent: int = 150, cap: int = 2, seed: int = 20260101, max_sources_to_broadcast: int = 100_000) -> DataFrame:

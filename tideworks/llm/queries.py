@@ -81,9 +81,14 @@ QUERIES = {f.__name__: f for f in (op1_suffix_array_quality, op2_debruijn_substr
 
 
 def _sql() -> dict[str, str]:
-    from tideworks.llm import licences
-
-    return {"op8_licence_sentence_rules": licences.duckdb_sql()}
+    from tideworks.llm import licences, oracles
+
+    return {
+        "op2_debruijn_substring_dedup": oracles.SUBSTRING_DEDUP,
+        "op7_bayes_jaccard_join": oracles.JACCARD,
+        "op8_licence_sentence_rules": licences.duckdb_sql(),
+        "op10_target_weight_mix": oracles.MIXING,
+    }
 
 
 SQL: dict[str, str] = _sql()
