@@ -308,8 +308,8 @@ def without_repeats(docs: DataFrame, k: int = 13, *, n_chars: str = "n_chars") -
     """
     kept = remove_repeats(docs, k, with_text=True).where("n_removed > 0").groupBy(*KEYS).agg(F.first("kept_text").alias("_kept"))
     mark = F.xxhash64("text").bitwiseAND(F.lit(0xFFFFFFFF))
-    marked = docs.withColumns({"_id": F.col("doc_id").cast("long"), "_mark": mark})
-    joined = marked.join(kept.withColumnsRenamed({"doc_id": "_kid", "mark": "_kmark"}).hint("shuffle_hash"), (F.col("_id") == F.col("_kid")) & (F.col("_mark") == F.col("_kmark")), "left")
+    other = kept.withColumnsRenamed({"doc_id": "_kept_id", "mark": "_kept_mark"}).hint("shuffle_hash")
+    joined = docs.join(other, (F.col("doc_id").cast("long") == F.col("_kept_id")) & (mark == F.col("_kept_mark")), "left")
     changed = {"text": F.coalesce("_kept", "text")}
     if n_chars in docs.columns:
         changed[n_chars] = F.when(F.col("_kept").isNotNull(), F.char_length("_kept").cast(docs.schema[n_chars].dataType)).otherwise(F.col(n_chars))

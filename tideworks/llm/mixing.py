@@ -61,19 +61,23 @@ def mix_plan(docs: DataFrame, *, size: Column | None = None, source: str = "sour
     partial sums per source, so a hot source costs no more than another.  The targets are broadcast if there are at
     most max_sources_to_broadcast sources, and joined by shuffle otherwise.
     """
-    own = ["size", "source_size", "target", "copies", "_rate", "_source"]
-    sized = docs.withColumns({"_size": word_count(F.col("text")) if size is None else size, "_key": F.col(source)})
-    sums = sized.groupBy(F.col("_key").alias("source")).agg(F.sum("_size").alias("source_size"))
-    targets = source_targets(sums, weights, share_percent, cap).select(F.col("source").alias("_source"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), "rate")
+    own = {"size", "source_size", "target", "copies"}
+    # Only what the plan needs goes through the join under names of its own; the row itself is one column.
+    kept = [f"`{c}`" for c in docs.columns if c not in own]
+    text_size = word_count(F.col("text")) if size is None else size
+    ids = F.struct(*[F.col(f"`{c}`").alias(f"i{k}") for k, c in enumerate(identity)])
+    sized = docs.select(F.struct(*kept).alias("row"), ids.alias("ids"), text_size.alias("size"), F.col(f"`{source}`").alias("key"))
+    sums = sized.groupBy(F.col("key").alias("source")).agg(F.sum("size").alias("source_size"))
+    targets = source_targets(sums, weights, share_percent, cap)
     few = targets.limit(max_sources_to_broadcast + 1).count() <= max_sources_to_broadcast
-    kept = [c for c in docs.columns if c not in own]
-    joined = sized.join(F.broadcast(targets) if few else targets, F.col("_key").eqNullSafe(F.col("_source")), "left")
+    joined = sized.join(F.broadcast(targets) if few else targets, F.col("key").eqNullSafe(F.col("source")), "left")
     rate = F.col("rate")
-    extra = (draw(seed, *[F.col(c) for c in identity]) < rate - F.floor(rate)).cast("int")
-    return joined.select(*[F.col(f"`{c}`") for c in kept], F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.floor(rate).cast("int") + extra).alias("copies"))
+    extra = (draw(seed, *[F.col(f"ids.i{k}") for k in range(len(identity))]) < rate - F.floor(rate)).cast("int")
+    return joined.select("row.*", "size", "source_size", "target", (F.floor(rate).cast("int") + extra).alias("copies"))
 
 
-def mixed(docs: DataFrame, **options) -> DataFrame:
+def mixed(docs: DataFrame, *, source: str = "source", identity: Sequence[str] = ("doc_id",), **options) -> DataFrame:
     """The mix itself: the rows of docs, each as often as mix_plan says, with the columns of docs."""
-    plan = mix_plan(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "*"), **options)
-    return plan.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole")
+    plan = mix_plan(docs.select(whole, F.col("text"), F.col(f"`{source}`").alias("source"), *[F.col(f"`{c}`").alias(f"i{k}") for k, c in enumerate(identity)]), identity=[f"i{k}" for k in range(len(identity))], **options)
+    return plan.where("copies > 0").select("whole", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("whole.*")
