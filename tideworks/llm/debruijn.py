@@ -182,7 +182,7 @@ def covered_spans(docs: DataFrame, k: int = 13, m: int = 5, seed: int = 1) -> Da
     # Paths that one bucket ends and another continues: equal ends and starts on both coordinates.
     line = Window.partitionBy(*KEYS, "src_id", "src_mark", F.col("start") - F.col("src_start")).orderBy("start")
     opens = F.coalesce(F.col("start") != F.lag(F.col("start") + F.col("n")).over(line), F.lit(True))
-    joined = parts.where("src_id is not null").withColumn("path", F.sum(opens.cast("int")).over(line))
+    joined = parts.where("src_id is not null").withColumn("path", F.sum(opens.cast("int")).over(line.rowsBetween(Window.unboundedPreceding, 0)))
     whole = joined.groupBy(*KEYS, "src_id", "src_mark", (F.col("start") - F.col("src_start")).alias("shift"), "path").agg(F.min("start").alias("start"), F.sum("n").alias("n"))
     return whole.select(*KEYS, "start", "n", "src_id", "src_mark", (F.col("start") - F.col("shift")).alias("src_start")).unionByName(parts.where("src_id is null"))
 
@@ -308,9 +308,9 @@ def without_repeats(docs: DataFrame, k: int = 13, *, n_chars: str = "n_chars") -
     """
     kept = remove_repeats(docs, k, with_text=True).where("n_removed > 0").groupBy(*KEYS).agg(F.first("kept_text").alias("_kept"))
     mark = F.xxhash64("text").bitwiseAND(F.lit(0xFFFFFFFF))
-    other = kept.withColumnsRenamed({"doc_id": "_kept_id", "mark": "_kept_mark"}).hint("shuffle_hash")
-    joined = docs.join(other, (F.col("doc_id").cast("long") == F.col("_kept_id")) & (mark == F.col("_kept_mark")), "left")
-    changed = {"text": F.coalesce("_kept", "text")}
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), mark.alias("mark"))
+    joined = whole.join(kept.hint("shuffle_hash"), KEYS, "left")
+    new = {"text": F.coalesce("_kept", "row.text")}
     if n_chars in docs.columns:
-        changed[n_chars] = F.when(F.col("_kept").isNotNull(), F.char_length("_kept").cast(docs.schema[n_chars].dataType)).otherwise(F.col(n_chars))
-    return joined.withColumns(changed).select(*docs.columns)
+        new[n_chars] = F.when(F.col("_kept").isNotNull(), F.char_length("_kept").cast(docs.schema[n_chars].dataType)).otherwise(F.col(f"row.{n_chars}"))
+    return joined.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])

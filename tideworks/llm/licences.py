@@ -43,7 +43,7 @@ SENTENCES = {
     "CcByNcRef": ["Licensed under CC BY-NC 4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", "SPDX-License-Identifier: CC-BY-NC-4.0"],
     "CcBySaRef": ["Licensed under CC BY-SA 4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"],
     "Cc0Ref": ["Released under CC0 1.0", "This work is dedicated to the public domain", "SPDX-License-Identifier: CC0-1.0"],
-    "Mpl2Ref": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", "SPDX-License-Identifier: MPL-2.0"],
+    "Mpl2Ref": ["This Source Code Form is subject to the terms of the Mozilla Public License, v", "SPDX-License-Identifier: MPL-2.0"],
     "Reserved": ["All rights reserved"],
 }
 
