@@ -26,7 +26,7 @@ class WordBpe:
     The file's normalizer is run by its library; splitting, merging and decoding are done here.
     """
 
-    def __init__(self, source: str, cache_words: int = 500_000):
+    def __init__(self, source: str, cache_words: int = 150_000):
         import regex
         from tokenizers import Tokenizer
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from tideworks.llm import textbytes as tb
 from tideworks.llm.shared import pieces, stored
 
-SLICE = 8 << 20
+SLICE = 4 << 20
 BUCKET_BYTES = 4 << 20
 SPANS = "doc_id bigint, mark bigint, start bigint, n bigint, src_id bigint, src_mark bigint, src_start bigint"
 PACKED = "bucket bigint, ids binary, marks binary, starts binary, sizes binary, hashes binary"
@@ -176,6 +176,7 @@ def covered_spans(docs: DataFrame, k: int = 13, m: int = 5, seed: int = 1) -> Da
             for i, j, data, offsets in tb.slices(*tb.column(batch), SLICE):
                 if rows := list(_edges(data, offsets, ids[i:j], marks[i:j], k, m, seed, buckets)):
                     yield _rows(rows)
+                tb.release()
 
     parts = keyed(docs).mapInArrow(emit, PACKED).groupBy("bucket").applyInArrow(_sources, SPANS)
     parts = stored(parts, "paths")
@@ -267,6 +268,7 @@ def _remove(k: int, with_text: bool):
                 columns.append(pa.array(texts, pa.string()))
                 names.append("kept_text")
             yield pa.RecordBatch.from_arrays(columns, names=names)
+            tb.release()
 
     return remove
 

@@ -202,6 +202,7 @@ def near_duplicates(docs: DataFrame, p: JaccardJoin | None = None) -> DataFrame:
                 if len(at):
                     keys = _band_keys(signatures(hashes, np.append(first[at], first[-1]), p.values), p.rows)
                     yield pa.RecordBatch.from_arrays([pa.array(ids[i + at].repeat(p.bands)), pa.array(keys.ravel())], names=["cid", "band"])
+            tb.release()
 
     banded = stored(rows.select("cid", "text").mapInArrow(bands, "cid bigint, band bigint"), "bands")
     leaders = banded.groupBy("band").agg(F.min("cid").alias("leader"), F.max("cid").alias("last")).where("leader != last")
@@ -225,6 +226,7 @@ def near_duplicates(docs: DataFrame, p: JaccardJoin | None = None) -> DataFrame:
                 sets = [np.unique(hashes[a:b]).tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
                 own = [c.slice(i, j - i) for c in batch.columns[:5]]
                 yield pa.RecordBatch.from_arrays([*own, pa.array([s.tobytes() for s in sig], pa.binary()), pa.array(sets, pa.binary())], names=["digest", "n_docs", "label", "blocks", "block", "sig", "shingles"])
+            tb.release()
 
     loaded = full.mapInArrow(payload, "digest binary, n_docs bigint, label bigint, blocks int, block int, sig binary, shingles binary")
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least("block", x).alias("i"), F.greatest("block", x).alias("j")))

@@ -204,6 +204,7 @@ def repetition_figures(docs: DataFrame, rules: RepetitionRules | None = None, *,
             else:
                 own = [pa.array(np.concatenate([p[c] for p in parts])) for c in FIGURES]
                 yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in names] + own, names=names + FIGURES)
+            tb.release()
 
     read = docs if passed_only else docs.select(*[f"`{c}`" for c in names], "text")
     return read.mapInArrow(figures, schema)
