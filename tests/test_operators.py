@@ -88,3 +88,15 @@ def test_reports(spark):
     assert wl.spread(runs, ["system"], "time").first().half_range == 3.0
     assert rows(wl.layout(runs, "cores", "system", ["a"], "time")) == [(1, 8.0), (2, 4.0), (4, 2.0)]
     assert rows(wl.code_size(spark.createDataFrame([("b/w/s/x", 2), ("b/w/s/y", 3)], "p string, n int"), "p", "n")) == [("b", "w", "s", 5)]
+
+
+def test_shared_folder_is_the_sessions(spark, monkeypatch):
+    from tideworks import session
+
+    assert session.shared_folder(spark) == spark.sparkContext.getConf().get("spark.checkpoint.dir").rstrip("/")
+
+    class Unset:
+        conf = type("C", (), {"get": staticmethod(lambda key, default=None: default)})
+        sparkContext = type("S", (), {"applicationId": "app-1", "getConf": staticmethod(dict)})
+
+    assert session.shared_folder(Unset) == session.shared_folder(Unset) != session.shared_folder(spark)

@@ -23,13 +23,17 @@ def session(master: str | None = None, **settings: str) -> SparkSession:
     return builder.config(map=SETTINGS | {k.replace("_", "."): v for k, v in settings.items()}).getOrCreate()
 
 
+_local: dict[str, str] = {}  # by application, where the session names no folder
+
+
 def shared_folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir of the session; a local folder only where none is set, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
-        found = tempfile.mkdtemp(prefix="tideworks-")
-        spark.conf.set("spark.checkpoint.dir", found)
-        spark.sparkContext.setCheckpointDir(found)
+        application = spark.sparkContext.applicationId
+        if application not in _local:
+            _local[application] = tempfile.mkdtemp(prefix="tideworks-")
+        found = _local[application]
     return found.rstrip("/")
 
 
