@@ -1,34 +1,14 @@
-"""The folder that driver and executors share, and tables written to it to cut lineage."""
+"""Tables in the folder that driver and executors share, and how finely to cut work."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tideworks.session import materialise as stored
+from tideworks.session import scratch_path as scratch
 
-def folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a local folder only where none is set, as in tests."""
-    set_to = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not set_to:
-        set_to = tempfile.mkdtemp(prefix="tideworks-")
-        spark.sparkContext.setCheckpointDir(set_to)
-        spark.conf.set("spark.checkpoint.dir", set_to)
-    return set_to.rstrip("/")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it again: no lineage, and lost executors cost nothing."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["partitions", "pieces", "scratch", "stored"]
 
 
 def partitions(spark: SparkSession) -> int:
