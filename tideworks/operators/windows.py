@@ -36,3 +36,11 @@ def closing(opens: DataFrame, events: DataFrame, key: str, event_key: str, begin
     """Data-driven windows: events joined to the row that opens their key's window, which lasts from begin up to before end."""
     inside = (F.col(time) >= F.col(begin)) & (F.col(time) < F.col(end))
     return opens.join(events, F.col(key) == F.col(event_key)).where(inside if condition is None else inside & condition)
+
+
+def within(left: DataFrame, right: DataFrame, on: Sequence[str], left_time: str, right_time: str, span: str) -> DataFrame:
+    """Interval join: rows of one key whose right time is before the left time plus span, however long before.
+
+    Works on streams with watermarks as well, where the bound lets state go.
+    """
+    return left.join(right, list(on)).where(F.col(right_time) < F.col(left_time) + F.expr(f"interval {span}"))

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tideworks.operators import custom
 from tideworks.operators import multiset as ms
 from tideworks.operators import relational as rel
 from tideworks.operators import windows as win
@@ -14,6 +15,7 @@ from tideworks.plans import auctions as nex
 from tideworks.plans import fixtures as fx
 from tideworks.plans import workloads as wl
 from tideworks.sources import auctions as source
+from tideworks.sources import graphs
 from tideworks.streaming import runs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -160,6 +162,15 @@ add("op_multiset_threshold", lambda s, d: ms.threshold(_weights(s, d)[1], lambda
 add("op_fold", lambda s, d: fx.bid(s, d).groupBy("bidder").agg(F.sum("price").alias("total"), F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("extra")), "").alias("statuses")), fx.sql("SELECT bidder, CAST(sum(price) AS BIGINT) AS total, count(*) AS n, list_aggregate(list_sort(list_distinct(list(extra))), 'string_agg', '') AS statuses FROM bid GROUP BY bidder", "bid"))
 add("op_global_fold", lambda s, d: fx.bid(s, d).agg(F.max(F.struct("price", "auction", "bidder")).alias("b")).select("b.*"), fx.sql("SELECT price, auction, bidder FROM bid ORDER BY price DESC, auction DESC, bidder DESC LIMIT 1", "bid"))
 
+add("op_interval_join", lambda s, d: win.within(fx.signup(s, d).select("id", "name", F.col("dateTime").alias("joined")), fx.listing(s, d).select(F.col("seller").alias("id"), "reserve", F.col("dateTime").alias("sold")), ["id"], "joined", "sold", "1 day").select("id", "joined", "sold", "reserve"), fx.sql("SELECT p.id, p.dateTime AS joined, a.dateTime AS sold, a.reserve FROM signup p JOIN listing a ON p.id = a.seller AND a.dateTime < p.dateTime + INTERVAL '1 day'", "signup", "listing"))
+add("op_with_previous", lambda s, d: custom.with_previous(fx.table(s, d, "events").select("user_id", "event_id", "event_type"), ["user_id"], ["event_id"], "event_type", F.lit("")), "SELECT user_id, event_id, event_type, coalesce(lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id), '') AS previous FROM events")
+add("op_ordered_fold", lambda s, d: custom.fold(fx.edges(s, d), ["src"], F.col("dst"), F.lit(0).cast("long"), lambda acc, x: (acc * 31 + x) % 1_000_003), fx.sql("SELECT src, list_reduce(list_prepend(0::BIGINT, list_sort(list(dst))), lambda acc, x: (acc * 31 + x) % 1000003) AS value FROM edges GROUP BY src", "edges"))
+add("op_lookup", lambda s, d: custom.lookup(fx.table(s, d, "customer").select("c_custkey", F.col("c_nationkey").alias("n_nationkey")), fx.table(s, d, "nation"), ["n_nationkey"]).select("c_custkey", "n_name"), "SELECT c_custkey, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey")
+add("op_group_reduce", lambda s, d: custom.group_reduce(fx.edges(s, d), ["src"], lambda g: g.nsmallest(2, "dst"), "src bigint, dst bigint"), fx.sql("SELECT src, dst FROM edges QUALIFY row_number() OVER (PARTITION BY src ORDER BY dst) <= 2", "edges"))
+add("op_cogroup", lambda s, d: custom.cogroup(fx.edges(s, d), fx.edges(s, d).select(F.col("dst").alias("src"), F.col("src").alias("dst")), ["src"], lambda a, b: a[~a["dst"].isin(b["dst"])], "src bigint, dst bigint"), fx.sql("SELECT src, dst FROM edges EXCEPT SELECT dst, src FROM edges", "edges"))
+add("op_flat_map", lambda s, d: custom.flat_map(fx.table(s, d, "nation").select("n_nationkey", "n_name"), lambda b: b.assign(part=b["n_name"].str.split(" ")).explode("part")[["n_nationkey", "part"]], "n_nationkey int, part string"), "SELECT n_nationkey, unnest(string_split(n_name, ' ')) AS part FROM nation")
+add("random_edges", lambda s, d: wl.pagerank_integer(s.range(200).toDF("id"), graphs.random_edges(s, 2000, 200), 3))
+
 # Reports on runs, over stand-ins: segments as systems, ship years as sizes.
 
 

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from tideworks.operators.relational import with_max
 from tideworks.plans import auctions as nex
@@ -63,6 +64,11 @@ def finished(df: DataFrame, mode: str = "append", each: Callable[[DataFrame], Da
     return kept.withColumns({c: F.col(c).cast("timestamp_ntz") for c, kind in kept.dtypes if kind == "timestamp"})
 
 
+def progress(query: StreamingQuery) -> list[dict]:
+    """Rows, seconds and watermark of a query's recent micro-batches: what a latency timeline is drawn from."""
+    return [{"batch": p["batchId"], "rows": p["numInputRows"], "seconds": p["durationMs"].get("triggerExecution", 0) / 1000, "watermark": p.get("eventTime", {}).get("watermark")} for p in map(dict, query.recentProgress)]
+
+
 def _real(df: DataFrame, column: str) -> DataFrame:
     """Without the rows sent ahead."""
     return df.where(F.col(column) != -1)
