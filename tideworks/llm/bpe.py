@@ -50,7 +50,9 @@ class WordBpe:
         letters = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in plain)}
         self.inner = [self.vocab[letters[b]] for b in range(256)]
         self.last = [self.vocab[letters[b] + self.suffix] for b in range(256)]
+        # Two generations: a full one becomes the older, from which words that come again are taken over.
         self.cache: dict[str, tuple[int, str, str]] = {}
+        self.older: dict[str, tuple[int, str, str]] = {}
         self.cache_words = cache_words
 
     def merge_short(self, parts: list[int]) -> list[int]:
@@ -96,10 +98,13 @@ class WordBpe:
         return self.merge_short(parts) if len(parts) <= SHORT else self.merge_long(parts)
 
     def _entry(self, word: str) -> tuple[int, str, str]:
-        ids = self.word(word)
+        entry = self.older.get(word)
+        if entry is None:
+            ids = self.word(word)
+            entry = (len(ids), " ".join(map(str, ids)), " ".join([self.token[i] for i in ids]))
         if len(self.cache) >= self.cache_words:
-            self.cache.clear()
-        entry = self.cache[word] = (len(ids), " ".join(map(str, ids)), " ".join(self.token[i] for i in ids))
+            self.older, self.cache = self.cache, {}
+        self.cache[word] = entry
         return entry
 
     def spell(self, text: str) -> tuple[int, str, str]:
@@ -115,8 +120,7 @@ class WordBpe:
                 try:
                     entries = list(map(self.cache.__getitem__, found))
                 except KeyError:
-                    known = self.cache.get
-                    entries = [known(x) or self._entry(x) for x in found]
+                    entries = [self.cache.get(x) or self._entry(x) for x in found]
                 n += sum([e[0] for e in entries])
                 ids += [e[1] for e in entries]
                 tokens += [e[2] for e in entries]
