@@ -62,3 +62,11 @@ def test_passed_only_empty_and_clashing(spark):
     assert out.columns[-1] == "n_words" and {r.n_words for r in out.collect()} == {"kept"}
     assert rp.repetition_figures(clashing(spark, ["kept"])).select("kept").dtypes == [("kept", "boolean")]
     assert rp.repetition_figures(empty(spark)).count() == 0
+
+
+def test_words_said_over_and_over_fail_and_prose_passes():
+    said = [" ".join(f"v{i} " * times for i in range(10)) for times in (4, 5, 7)] + ["a b c d " + " ".join(f"u{k} a b c d" for k in range(15))]
+    clean = [prose(21, 300, 400), prose(22, 9000, 3000), f"{prose(23, 60)} no no no no {prose(24, 60)}"]
+    m = rp.measure(*tb.column(pa.record_batch([pa.array(said + clean)], ["text"])), rp.RepetitionRules())
+    assert not m["base_failed"].any()
+    assert m["short_failed"].tolist() == [True] * 4 + [False] * 3 and m["kept"].tolist() == [False] * 4 + [True] * 3

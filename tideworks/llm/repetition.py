@@ -3,7 +3,8 @@
 The suffixes of all documents of a slice are sorted together by prefix doubling.  A word's symbol includes its
 document, so suffixes of different documents share no prefix.  Neighbours' longest common prefixes give the LCP
 intervals; an interval whose members are preceded by different words is a maximal repeat.  The repeats' spans are
-united, and a document fails when they cover too large a part of it or when one of them is too long.
+united, and a document fails when they cover too large a part of it or when one of them is too long.  Repeats of a few
+words have limits of their own, since words said over and over have no repeats as long as the base rule's windows.
 """
 
 from __future__ import annotations
@@ -24,11 +25,12 @@ IS_SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
 
 @dataclass(frozen=True)
 class RepetitionRules:
-    """Limits on the repeats of at least min_repeat_words words."""
+    """Limits on the repeats of at least min_repeat_words words; short_limits: on those of at least so many words, by percent covered."""
 
     min_repeat_words: int = 8
     max_covered_percent: int = 30
-    max_longest_words: int = 200
+    short_limits: tuple[tuple[int, int], ...] = ((3, 50), (4, 30))
+    max_longest_words: int = 100
     min_words: int = 20
     max_window_percent: int = 30
 
@@ -152,6 +154,7 @@ def measure(data: np.ndarray, offsets: np.ndarray, rules: RepetitionRules) -> di
     symbols = np.concatenate(([0], np.cumsum(IS_SYMBOL[data])))
     out["n_symbols"] = symbols[offsets[1:]] - symbols[offsets[:-1]]
     out["n_dup_lines"] = _dup_lines(w)
+    out["short_failed"] = np.zeros(n_docs, bool)
     if n:
         symbol = tb.mix(w.hash + w.doc.astype(np.uint64) * tb.U64(0x9E3779B97F4A7C15)).view(np.int64)
         sa, lcp = suffix_array(symbol)
@@ -172,15 +175,18 @@ def measure(data: np.ndarray, offsets: np.ndarray, rules: RepetitionRules) -> di
         # spans have the same union as those of the maximal repeats.
         at = np.flatnonzero(deepest >= rules.min_repeat_words)
         out["covered_words"] = per_doc(_cover(at, deepest[at], n))
+        for least, percent in rules.short_limits:
+            at = np.flatnonzero(deepest >= least)
+            out["short_failed"] |= 100 * per_doc(_cover(at, deepest[at], n)) > percent * out["n_words"]
     else:
         out |= {k: np.zeros(n_docs, np.int64) for k in ("n_repeat_words", "n_repeats", "longest_repeat", "covered_words")}
     few, n_words = out["n_words"] < rules.min_words, out["n_words"]
     out["base_failed"] = few | (100 * out["n_repeat_words"] > rules.max_window_percent * n_words)
-    out["kept"] = ~(out["base_failed"] | (100 * out["covered_words"] > rules.max_covered_percent * n_words) | (out["longest_repeat"] > rules.max_longest_words))
+    out["kept"] = ~(out["base_failed"] | out["short_failed"] | (100 * out["covered_words"] > rules.max_covered_percent * n_words) | (out["longest_repeat"] > rules.max_longest_words))
     return out
 
 
-FIGURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_repeats", "longest_repeat", "covered_words"]
+FIGURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_repeats", "longest_repeat", "covered_words", "short_failed"]
 
 
 def repetition_figures(docs: DataFrame, rules: RepetitionRules | None = None, *, passed_only: bool = False) -> DataFrame:
@@ -192,7 +198,7 @@ def repetition_figures(docs: DataFrame, rules: RepetitionRules | None = None, *,
     rules = rules or RepetitionRules()
     carried = [f for f in docs.schema.fields if passed_only or f.name not in {"text", *FIGURES}]
     names = [f.name for f in carried]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in carried] + ([] if passed_only else [f"{c} {'boolean' if c in ('base_failed', 'kept') else 'bigint'}" for c in FIGURES]))
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in carried] + ([] if passed_only else [f"{c} {'boolean' if c in ('base_failed', 'kept', 'short_failed') else 'bigint'}" for c in FIGURES]))
 
     def figures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
