@@ -25,3 +25,16 @@ def test_rows(spark):
     out = extract(pages).collect()
     assert len(out) == 3 and out[0].text == main_text(PAGE) and out[0].n_chars == len(out[0].text) and out[2].text == "" and out[2].n_chars == 0
     assert extract(pages.limit(0)).count() == 0
+
+
+def test_all_content_parts_stay():
+    from tideworks.llm.tagpaths import main_text
+
+    said = lambda k, n: " ".join(f"Sentence {k} {i}, with some words of it." for i in range(n))
+    one, two = said("a", 13), said("b", 7)
+    assert main_text(f"<body><div id=content><section><p>{one}</p></section><section><p>{two}</p></section></div></body>") == f"{one}\n{two}"
+    assert main_text(f"<body><div><div><p>{one}</p></div><p>{two}</p></div></body>") == f"{one}\n{two}"
+    assert main_text(f"<body><div><article><p>{one}</p></article><article><p>{two}</p></article></div></body>") == f"{one}\n{two}"
+    linked = "<ul><li><a href=x>Reference one</a></li><li><a href=y>Reference two</a></li></ul>"
+    assert main_text(f"<body><article><h2><a href=z>Linked title</a></h2><p>{one}</p>{linked}</article></body>") == f"Linked title\n{one}\nReference one\nReference two"
+    assert main_text(f"<body><div>{linked}<h2><a href=z>Linked title</a></h2><p>{one}</p></div></body>") == f"Linked title\n{one}"

@@ -33,15 +33,15 @@ CONTAINERS = frozenset(("", "html", "body", "article", "main", "section", "div",
 _TOKEN = re.compile(rf"""<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b(?:[^>"']|"[^"]*"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<end>/?)(?P<tag>[a-z][^\s/>]*)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?/][^>]*>|(?P<text>[^<]+|<)""", re.S | re.I)
 _ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _WORDS = re.compile(r"[A-Za-z]+")
+_TITLES = re.compile(r"/(?:h[1-6]|p)(?:/|\Z)")  # headings and paragraphs, which no link list is made of
 _PUNCTUATION = re.compile(r"[,.;:!?¡¿、。！，？]")
 
 
 @dataclass(frozen=True)
 class PathRules:
-    """share: of the best fused ratio, for a content path; hold: of content text, for the element chosen; link_share: above it a path is a link list."""
+    """share: of the best fused ratio, for a content path; article_hold: of content text, for article and main elements to be chosen; link_share: above it a path is a link list."""
 
     share: float = 0.1
-    hold: float = 0.6
     article_hold: float = 0.3
     link_share: float = 0.8
 
@@ -176,19 +176,25 @@ def main_text(page: str | None, rules: PathRules = PathRules()) -> str:  # noqa:
         fused[b.path] += length * (1 + mark) / sums[b.path][0]
     least = rules.share * max(fused.values())
     lists = {p for p, s in sums.items() if s[3] > rules.link_share * (s[1] + s[3])}
+    articles_of = [[e for e in b.elements if tags.get(e) in ("article", "main")] for b in found]
+    in_list = [b.path in lists and not within and not _TITLES.search(b.path) for b, within in zip(found, articles_of, strict=True)]
     held: dict[int, int] = defaultdict(int)
-    total = 0
-    for b in found:
-        if fused[b.path] >= least and b.path not in lists:
-            total += len(b.text)
-            for e in b.elements:
-                held[e] += len(b.text)
+    total = in_articles = 0
+    content = [i for i, b in enumerate(found) if fused[b.path] >= least and not in_list[i]]
+    for i in content:
+        n = len(found[i].text)
+        total += n
+        in_articles += n if articles_of[i] else 0
+        for e in found[i].elements:
+            held[e] += n
     if not total:
         return ""
-    articles = [e for e in held if tags.get(e) in ("article", "main") and held[e] >= rules.article_hold * total]
-    holders = [e for e in held if tags.get(e, "") in CONTAINERS and held[e] >= rules.hold * total]
-    chosen = max(articles, key=lambda e: (held[e], e)) if articles else max(holders)
-    inside = [chosen in b.elements and b.path not in lists for b in found]
+    if in_articles and in_articles >= rules.article_hold * total:  # each outermost one, as deep as one holds all its content text
+        tops = {min(articles_of[i]): articles_of[i] for i in content if articles_of[i]}
+        chosen = {max(e for e in within if held[e] == held[top]) for top, within in tops.items()}
+    else:  # the deepest that holds all of it
+        chosen = {max(e for e in held if tags.get(e, "") in CONTAINERS and held[e] == total)}
+    inside = [not chosen.isdisjoint(b.elements) and not x for b, x in zip(found, in_list, strict=True)]
     if not any(x and b.path.endswith("/h1") for b, x in zip(found, inside, strict=True)):  # a title set above the element
         for i in range(inside.index(True) - 1, -1, -1):
             if found[i].path.endswith("/h1"):
