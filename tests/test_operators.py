@@ -100,3 +100,13 @@ def test_shared_folder_is_the_sessions(spark, monkeypatch):
         sparkContext = type("S", (), {"applicationId": "app-1", "getConf": staticmethod(dict)})
 
     assert session.shared_folder(Unset) == session.shared_folder(Unset) != session.shared_folder(spark)
+
+
+def test_fixpoints_end_whole_or_fail(spark):
+    chain = spark.range(8).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    vertices = spark.range(9)
+    assert rows(wl.connected_components(vertices, chain)) == [(i, 0) for i in range(9)]
+    with pytest.raises(RuntimeError):
+        wl.connected_components(vertices, chain, 3)
+    with pytest.raises(RuntimeError):
+        wl.transitive_closure(chain, 2)

@@ -115,7 +115,7 @@ def pagerank_integer(vertices: DataFrame, edges: DataFrame, rounds: int) -> Data
     return fix.iterate(start, None, body, lambda s, _: s, lambda _: True, rounds)[1]
 
 
-def connected_components(vertices: DataFrame, edges: DataFrame, rounds: int = 100) -> DataFrame:
+def connected_components(vertices: DataFrame, edges: DataFrame, rounds: int | None = None) -> DataFrame:
     """(vertex, component): the least vertex that a vertex is connected with; only vertices that changed are followed."""
     both = materialise(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).union(edges.select("dst", "src")).distinct())
     start = vertices.select(F.col("id").alias("vertex"), F.col("id").alias("component"))
@@ -126,7 +126,7 @@ def connected_components(vertices: DataFrame, edges: DataFrame, rounds: int = 10
     return fix.delta_iterate(start, start, "vertex", "component", expand, F.least, rounds)
 
 
-def transitive_closure(edges: DataFrame, rounds: int = 1000) -> DataFrame:
+def transitive_closure(edges: DataFrame, rounds: int | None = None) -> DataFrame:
     return fix.closure(edges.select(F.col("src").alias("x"), F.col("dst").alias("y")), rounds)
 
 
