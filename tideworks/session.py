@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,26 +24,37 @@ def session(master: str | None = None, **settings: str) -> SparkSession:
     return builder.config(map=SETTINGS | {k.replace("_", "."): v for k, v in settings.items()}).getOrCreate()
 
 
-_local: dict[str, str] = {}  # by application, where the session names no folder
+FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a local folder only where none is set, as in tests."""
+    """The folder in spark.checkpoint.dir, which driver and executors share; there is no stand-in on one machine's disk."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found and spark.sparkContext.master.startswith("local["):  # one process: its own disk is shared by all
+        found = f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch"
     if not found:
-        application = spark.sparkContext.applicationId
-        if application not in _local:
-            _local[application] = tempfile.mkdtemp(prefix="tideworks-")
-        found = _local[application]
+        raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
     return found.rstrip("/")
 
 
+@contextmanager
+def freed_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Within it, a query's shuffle files go when it ends, not when the driver happens to collect its garbage."""
+    before = spark.conf.get(FREED, None)
+    spark.conf.set(FREED, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(FREED) if before is None else spark.conf.set(FREED, before)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str = "round") -> DataFrame:
+def materialise(df: DataFrame, name: str = "round", **options: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends there, and no executor's loss can undo it."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    with freed_shuffles(df.sparkSession):
+        df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
