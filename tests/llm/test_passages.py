@@ -1,10 +1,12 @@
 import hashlib
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
 from tests.llm.cases import ROWS, clashing, empty, odd, prose, words
 from tideworks.llm import debruijn
+from tideworks.llm import textbytes as tb
 
 
 def plain(rows, k=13):
@@ -42,19 +44,54 @@ def test_scattered_rows(spark):
     assert got(debruijn.remove_repeats(df)) == plain(rows)
 
 
-def test_spans_whose_words_differ_are_seen(spark):
-    """What two windows of one hash would lead to: a span whose words are not those at its source."""
-    text, size = prose(1, 40), 13
-    right = hashlib.blake2b(" ".join(words(text)[2:15]).encode(), digest_size=16).digest()
-    span = pa.struct([("start", pa.int64()), ("n", pa.int64()), ("digest", pa.binary())])
-    for digest, wrong in ((right, 0), (b"0" * 16, 1), (None, 0)):
-        batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([0]), pa.array([text]), pa.array([[{"start": 2, "n": 1, "digest": digest}]], pa.list_(span))], names=["doc_id", "mark", "text", "spans"])
-        (out,) = debruijn._remove(size, True)([batch])
-        assert out.column("_wrong").to_pylist() == [wrong] and out.column("n_removed").to_pylist() == [13]
+def morse(n):
+    """Two words over a and b that hashes linear in their bytes, modulo a power of two, cannot tell apart."""
+    one = "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+    return one, one.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_that_weak_hashes_confuse(spark):
+    x, y = morse(4096)
+    c = prose(5, 12)
+    rows = [(1, f"{c} {x} {c}"), (2, f"{c} {y} {c}"), (3, f"{c} {y} {c}")]
+    assert got(debruijn.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1))) == plain(rows)
+
+
+def test_digests_tell_windows_of_one_hash_apart(spark, monkeypatch):
+    """Without hashes all windows are one edge: the digests of some path differ from those of its source."""
+    rows = [(i, i, prose(i, 20)) for i in range(3)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["id", "c0", "c1"])
+    for weak in (False, True):
+        if weak:
+            monkeypatch.setattr(tb, "gram_hashes", lambda h, k, seed=0: np.zeros(max(0, len(h) - k + 1), np.uint64))
+        edges = debruijn._edges(7, batch, "c1", 13, 1, 0)
+        sources = debruijn._sources(pa.Table.from_batches([debruijn._batch(debruijn.EDGES, edges)]))
+        assert (sources.num_rows > 0) == weak
+    paths = debruijn._paths(sources)
+    asked = pa.Table.from_batches(debruijn._asked(13)(paths.to_batches()))
+    spans = pa.concat_tables([paths.append_column("own", pa.array([True] * paths.num_rows)), pa.table({"slice": asked["slice"], "start": asked["start"], "n": asked["n"], "src_slice": pa.array([0] * len(asked)), "src_start": pa.array([0] * len(asked)), "own": [False] * len(asked)})])
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as out:
+        out.write_batch(batch)
+    slices = pa.table({"slice": [7], "rows": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
+    got_ = debruijn._remove(1, None, 13, False, ["doc_id", "n_words", "n_removed", "kept_sha256"])(slices, spans).to_pylist()
+    digests = {}
+    for r in got_:
+        digests.setdefault((r["src_at"], r["words"]), set()).add(r["digest"])
+    del digests[None, None]
+    assert any(len(d) > 1 for d in digests.values())
     with pytest.raises(RuntimeError):
         debruijn.remove_repeats(odd(spark), seeds=0)
 
 
+def test_a_doc_id_over_several_slices(spark, monkeypatch):
+    base = prose(3, 30)
+    rows = [(5, f"{prose(i, 15)} {base} {prose(20 + i, 15)}") for i in range(12)] + [(6, f"{base} {prose(60, 9)} {base}"), (7, base), (4, prose(0, 15) + " z")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    monkeypatch.setattr(debruijn, "sliced", lambda d, limit=300, f=debruijn.sliced: f(d, limit))
+    assert got(debruijn.remove_repeats(df)) == plain(rows)
+
+
 def test_whole_rows_stay(spark):
     df = clashing(spark, ["mark", "_kept", "spans"])
     out = debruijn.without_repeats(df).collect()

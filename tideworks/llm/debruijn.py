@@ -1,11 +1,12 @@
 """Substring dedup by compaction of repeated token k-mers.
 
-The k-mers (windows of k words) are the edges of a de Bruijn graph.  Each is sent to the bucket of the least m-mer
-hash inside it, so that a run of neighbouring edges mostly travels together, with its document coordinates stored
-once.  A bucket knows all documents of its edges; where an edge starts in a document with a smaller id, the edge's
-source is its place in the least such document.  Runs of edges whose sources are neighbours too form paths without
-a branch, which are compacted in the bucket and then across buckets by joining ends to starts on their coordinates.
-Every compacted path is checked against the words at its source coordinates.
+Documents are sorted by doc_id and cut into slices, which are written once as Arrow batches.  The k-mers (windows of k
+words) of a slice are edges of a de Bruijn graph; each distinct one is sent once, with its place, to the bucket that
+its hash falls in, so no edge, however common, sends more than one record a slice, and buckets are even.  A bucket
+joins equal edges: their source is the first in order of slices and places, which is that of the least document.  The
+sources go back to the slices, where neighbouring edges with neighbouring sources are joined end to start into paths
+without a branch.  At last a slice meets its paths, and as a source the spans that others take from it: both sides
+digest the same words, and where digests differ, all is done again under another hash.
 """
 
 from __future__ import annotations
@@ -16,17 +17,23 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideworks.llm import textbytes as tb
 from tideworks.llm.shared import pieces, stored
 
 SLICE = 4 << 20
-BUCKET_BYTES = 4 << 20
-SPANS = "doc_id bigint, mark bigint, start bigint, n bigint, src_id bigint, src_mark bigint, src_start bigint"
-PACKED = "bucket bigint, ids binary, marks binary, starts binary, sizes binary, hashes binary"
-KEYS = ["doc_id", "mark"]
+BUCKET_BYTES = 8 << 20
+PIECE = 32  # words of a source that one digest covers at most
+SLICES = "slice bigint, rows binary"
+EDGES = "bucket bigint, slice bigint, gaps binary, hashes binary, first_id bigint, last_id bigint, first_end bigint, last_begin bigint, source binary, sizes binary"
+SOURCES = "slice bigint, places binary, sizes binary, src_slice binary, source binary"
+PATHS = "slice bigint, start bigint, n bigint, src_slice bigint, src_start bigint"
+# Rows of megabytes, compressed already: a row group ends after some of them, not after the writer's usual hundreds.
+BLOBS = {"compression": "none", "parquet.block.size": str(16 << 20), "parquet.block.size.row.check.min": "1", "parquet.page.size.row.check.min": "1"}
+PROOFS = "src_slice bigint, src_at bigint, words bigint, digest binary"
 
 
 def _pack(x: np.ndarray) -> bytes:
@@ -40,13 +47,10 @@ def _unpack(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw, chr(raw[0]), offset=1).astype(np.int64)
 
 
-def _pack_ids(ids: np.ndarray) -> bytes:
-    """Ascending signed ids: the first as it is, then the steps."""
-    return ids[:1].tobytes() + _pack(np.diff(ids))
-
-
-def _unpack_ids(raw: bytes) -> np.ndarray:
-    return np.cumsum(np.concatenate((np.frombuffer(raw[:8], np.int64), _unpack(raw[8:]))))
+def _cuts(x: np.ndarray) -> list[tuple[int, int]]:
+    """(from, to) of each run of equal values."""
+    at = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1]))) if len(x) else np.zeros(0, np.int64)
+    return list(zip(at.tolist(), [*at[1:].tolist(), len(x)], strict=len(x) > 0))
 
 
 def _runs(follows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -55,264 +59,278 @@ def _runs(follows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start, np.diff(np.concatenate((start, [len(follows) + 1])))
 
 
-def _edges(data: np.ndarray, offsets: np.ndarray, ids: np.ndarray, marks: np.ndarray, k: int, m: int, seed: int, buckets: int):
-    """Packed rows of a slice whose documents ascend by id.
+def _batch(schema: str, rows: list[tuple]) -> pa.RecordBatch:
+    names, types = zip(*(x.split() for x in schema.split(", ")), strict=True)
+    kinds = {"bigint": pa.int64(), "binary": pa.binary()}
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[t]) for i, t in enumerate(types)], names=list(names))
 
-    Edges that start in two documents of the slice are sent for the one with the smaller id only; the other's are
-    covered by it, which the slice's own words confirm.
-    """
-    w = tb.words(data, offsets)
-    if len(w.start) < k:
-        return
-    edge = tb.gram_hashes(w.hash, k, seed)
-    n = len(edge)
-    at = np.flatnonzero(w.doc[:n] == w.doc[k - 1 :])
-    if not len(at):
-        return
-    grams = tb.gram_hashes(w.hash, m, seed + 1)
-    least = grams[:n].copy()
-    for j in range(1, k - m + 1):
-        np.minimum(least, grams[j : n + j], out=least)
-    order = at[np.argsort(edge[at], kind="stable")]  # within an edge by document, then place
-    same = edge[order][1:] == edge[order][:-1]
-    head = order[np.maximum.accumulate(np.where(np.concatenate(([True], ~same)), np.arange(len(order)), 0))]
-    source = np.empty(n, np.int64)
-    source[order] = head
-    later = np.zeros(n, bool)
-    later[order] = ids[w.doc[order]] > ids[w.doc[head]]
-    removed = np.flatnonzero(later)
-    true = np.ones(len(removed), bool)
-    for j in range(k):
-        true &= w.hash[removed + j] == w.hash[source[removed] + j]
-    local = w.first[w.doc]
-
-    def packed(bucket: int, start: np.ndarray, size: np.ndarray, hashes: bytes | None):
-        doc = w.doc[start]
-        return bucket, _pack_ids(ids[doc]), marks[doc].astype(np.uint32).tobytes(), _pack(start - local[start]), _pack(size), hashes
-
-    covered = removed[true]
-    if len(covered):
-        first, size = _runs((np.diff(covered) == 1) & (w.doc[covered[1:]] == w.doc[covered[:-1]]))
-        yield packed(int(least[covered[0]] % np.uint64(buckets)), covered[first], size, None)
-    # Edges that the words contradict are two k-mers of one hash; they are sent like the rest, for the final check to see.
-    sent = np.sort(np.concatenate((at[~later[at]], removed[~true])))
-    first, size = _runs((np.diff(sent) == 1) & (w.doc[sent[1:]] == w.doc[sent[:-1]]) & (least[sent[1:]] == least[sent[:-1]]))
-    bucket = (least[sent[first]] % np.uint64(buckets)).astype(np.int64)
-    by = np.argsort(bucket, kind="stable")
-    cuts = np.flatnonzero(np.diff(bucket[by], prepend=-1))
-    for lo, hi in zip(cuts, np.append(cuts[1:], len(by)), strict=True):
-        own = by[lo:hi]
-        places = np.repeat(sent[first[own]] - np.concatenate(([0], np.cumsum(size[own])[:-1])), size[own]) + np.arange(size[own].sum())
-        yield packed(int(bucket[own[0]]), sent[first[own]], size[own], edge[places].tobytes())
 
+def _columns(docs: DataFrame) -> list[Column]:
+    """doc_id as a number, then every column of docs by its place, so that no name clashes."""
+    return [F.col("doc_id").cast("long").alias("id"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]]
 
-def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), *[pa.binary()] * 5]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=[x.split()[0] for x in PACKED.split(", ")])
 
+def sliced(docs: DataFrame, limit: int = SLICE) -> DataFrame:
+    """(slice, rows): runs of whole documents by ascending doc_id, and as numbers ascending too; null ids come first."""
+    text = f"c{docs.columns.index('text')}"
 
-def _sources(table: pa.Table) -> pa.Table:
-    """Of one bucket: runs of edges that start in a document with a smaller id, with their sources."""
-    done, ids, marks, starts, sizes, hashes = [], [], [], [], [], []
-    for row in table.select(["ids", "marks", "starts", "sizes", "hashes"]).to_pylist():
-        one = _unpack_ids(row["ids"]), np.frombuffer(row["marks"], np.uint32).astype(np.int64), _unpack(row["starts"]), _unpack(row["sizes"])
-        if row["hashes"] is None:
-            done.append(one)
-            continue
-        for into, x in zip((ids, marks, starts, sizes), one, strict=True):
-            into.append(x)
-        hashes.append(np.frombuffer(row["hashes"], np.uint64))
-    out = [[*x, None, None, None] for x in done]
-    if hashes:
-        run_id, run_mark, run_start, size, edge = map(np.concatenate, (ids, marks, starts, sizes, hashes))
-        run = np.repeat(np.arange(len(size)), size)
-        place = np.arange(len(edge)) - np.repeat(np.cumsum(size) - size, size)
-        by = np.argsort(edge, kind="stable")
-        group = np.cumsum(np.concatenate(([0], edge[by][1:] != edge[by][:-1])))
-        several = np.bincount(group)[group] > 1
-        by, group = by[several], group[several]
-        if len(by):
-            doc, start = run_id[run[by]], run_start[run[by]] + place[by]
-            inner = np.lexsort((start, run_mark[run[by]], doc, group))
-            by, group, doc, start = by[inner], group[inner], doc[inner], start[inner]
-            head = np.maximum.accumulate(np.where(np.concatenate(([True], group[1:] != group[:-1])), np.arange(len(by)), 0))
-            later = doc > doc[head]
-            src = np.full(len(edge), -1, np.int64)
-            src[by[later]] = by[head[later]]
-            at = np.flatnonzero(src >= 0)
-        else:
-            at = np.zeros(0, np.int64)
-        if len(at):
-            s = src[at]
-            mine, theirs = run[at], run[s]
-            to = run_start[theirs] + place[s]
-            follows = (np.diff(at) == 1) & (mine[1:] == mine[:-1]) & (np.diff(to) == 1) & (run_id[theirs][1:] == run_id[theirs][:-1]) & (run_mark[theirs][1:] == run_mark[theirs][:-1])
-            first, n = _runs(follows)
-            f = at[first]
-            out.append([run_id[run[f]], run_mark[run[f]], run_start[run[f]] + place[f], n, run_id[theirs[first]], run_mark[theirs[first]], to[first]])
-    names = [x.split()[0] for x in SPANS.split(", ")]
-    columns = [pa.concat_arrays([pa.array(o[i], pa.int64()) if o[i] is not None else pa.nulls(len(o[0]), pa.int64()) for o in out]) if out else pa.nulls(0, pa.int64()) for i in range(7)]
-    return pa.Table.from_arrays(columns, names=names)
-
-
-def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, mark (which tells rows with one doc_id and different texts apart) and text."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").bitwiseAND(F.lit(0xFFFFFFFF)).alias("mark"), F.coalesce("text", F.lit("")).alias("text"))
-
-
-def covered_spans(docs: DataFrame, k: int = 13, m: int = 5, seed: int = 1) -> DataFrame:
-    """Compacted paths of windows that also start in a document with a smaller doc_id.
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            for i, j, *_ in tb.slices(*tb.column(batch, text), limit):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                    out.write_batch(batch.slice(i, j - i))
+                yield _batch(SLICES, [(number, sink.getvalue().to_pybytes())])
+                number += 1
+            tb.release()
+
+    ordered = docs.select(*_columns(docs)).repartitionByRange("id").sortWithinPartitions("id")
+    return stored(ordered.mapInArrow(cut, SLICES), "slices", **BLOBS)
+
+
+def _read(raw: bytes) -> pa.RecordBatch:
+    return pa.ipc.open_stream(raw).read_next_batch()
 
-    Columns: doc_id, mark, start and n (windows start .. start+n-1, in words), and src_id, src_mark, src_start of the
-    same words in the least document (null where both were in one slice and are compared already).
-    """
-    _, buckets = pieces(docs, "text", BUCKET_BYTES)
 
+def _words(batch: pa.RecordBatch, text: str, seed: int = 0) -> tb.Words:
+    data, offsets = tb.column(batch, text)
+    return tb.words(data[offsets[0] : offsets[-1]], offsets - offsets[0], seed)
+
+
+def _ids(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """doc_ids, and which are not null."""
+    return pc.fill_null(batch.column(0), 0).to_numpy(zero_copy_only=False), pc.is_valid(batch.column(0)).to_numpy(zero_copy_only=False)
+
+
+def _edges(number: int, batch: pa.RecordBatch, text: str, k: int, seed: int, bits: int) -> list[tuple]:
+    """Rows of EDGES of a slice: by bucket the places of its edges, of each in the least document that has it; and, as one row without hashes, paths of edges that a smaller document of the slice has."""
+    w = _words(batch, text, seed)
+    if len(w.start) < k:
+        return []
+    ids, named = _ids(batch)
+    n = len(w.start) - k + 1
+    at = np.flatnonzero((w.doc[:n] == w.doc[k - 1 :]) & named[w.doc[:n]])
+    if not len(at):
+        return []
+    edge = tb.gram_hashes(w.hash, k, seed)
+    order = at[np.argsort(edge[at], kind="stable")]
+    new = np.concatenate(([True], edge[order][1:] != edge[order][:-1]))
+    head = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+    later = ids[w.doc[order]] > ids[w.doc[head]]
+    rows = []
+    own = w.doc[at]
+    first_end = int(at[ids[own] == ids[own[0]]][-1]) + 1
+    last_begin = int(at[ids[own] == ids[own[-1]]][0])
+    bounds = int(ids[own[0]]), int(ids[own[-1]]), first_end, last_begin
+    if later.any():
+        by = np.argsort(order[later])
+        place, source = order[later][by], head[later][by]
+        first, size = _runs((np.diff(place) == 1) & (np.diff(source) == 1))
+        rows.append((number % (1 << bits), number, _pack(np.diff(place[first], prepend=0)), None, *bounds, _pack(source[first]), _pack(size)))
+    place = np.sort(order[~later])
+    one, two = edge[place], tb.gram_hashes(w.hash, k, ~seed)[place]
+    bucket = (one >> tb.U64(64 - bits)).astype(np.int64) if bits else np.zeros(len(one), np.int64)
+    sent = (one << tb.U64(bits)) | (two & tb.U64((1 << bits) - 1))
+    by = np.argsort(bucket, kind="stable")
+    for lo, hi in _cuts(bucket[by]):
+        own = by[lo:hi]
+        rows.append((int(bucket[own[0]]), number, _pack(np.diff(place[own], prepend=0)), sent[own].tobytes(), *bounds, None, None))
+    return rows
+
+
+def _emit(text: str, k: int, seed: int, bits: int):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            batch = batch.filter(pc.is_valid(batch.column(0)))
-            batch = batch.take(pc.sort_indices(batch.column(0)))
-            ids, marks = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for i, j, data, offsets in tb.slices(*tb.column(batch), SLICE):
-                if rows := list(_edges(data, offsets, ids[i:j], marks[i:j], k, m, seed, buckets)):
-                    yield _rows(rows)
+            for number, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if rows := _edges(number, _read(raw.as_py()), text, k, seed, bits):
+                    yield _batch(EDGES, rows)
                 tb.release()
 
-    parts = keyed(docs).mapInArrow(emit, PACKED).groupBy("bucket").applyInArrow(_sources, SPANS)
-    parts = stored(parts, "paths")
-    # Paths that one bucket ends and another continues: equal ends and starts on both coordinates.
-    line = Window.partitionBy(*KEYS, "src_id", "src_mark", F.col("start") - F.col("src_start")).orderBy("start")
-    opens = F.coalesce(F.col("start") != F.lag(F.col("start") + F.col("n")).over(line), F.lit(True))
-    joined = parts.where("src_id is not null").withColumn("path", F.sum(opens.cast("int")).over(line.rowsBetween(Window.unboundedPreceding, 0)))
-    whole = joined.groupBy(*KEYS, "src_id", "src_mark", (F.col("start") - F.col("src_start")).alias("shift"), "path").agg(F.min("start").alias("start"), F.sum("n").alias("n"))
-    return whole.select(*KEYS, "start", "n", "src_id", "src_mark", (F.col("start") - F.col("shift")).alias("src_start")).unionByName(parts.where("src_id is null"))
+    return emit
+
 
+def _sources(table: pa.Table) -> pa.Table:
+    """Of one bucket: for each slice the places of edges that an earlier document has, and where it has them."""
+    rows = sorted(table.to_pylist(), key=lambda r: r["slice"])
+    out = [(r["slice"], _pack(np.cumsum(_unpack(r["gaps"]))), r["sizes"], _pack(np.array([r["slice"]])), r["source"]) for r in rows if r["hashes"] is None]
+    rows = [r for r in rows if r["hashes"] is not None]
+    if rows:
+        edge = np.concatenate([np.frombuffer(r["hashes"], np.uint64) for r in rows])
+        place = [np.cumsum(_unpack(r["gaps"])) for r in rows]
+        row = np.repeat(np.arange(len(rows)), [len(x) for x in place])
+        place = np.concatenate(place)
+        by = np.argsort(edge, kind="stable")  # within an edge by slice
+        new = np.concatenate(([True], edge[by][1:] != edge[by][:-1]))
+        head = np.maximum.accumulate(np.where(new, np.arange(len(by)), 0))[~new]
+        mine, theirs = by[~new], by[head]
+        if len(mine):
+            first_id, last_id, first_end, last_begin = (np.array([r[c] for r in rows], np.int64) for c in ("first_id", "last_id", "first_end", "last_begin"))
+            # Of one slice only one doc_id sends an edge, and slices can share a doc_id only as the last of one and the first of the other.
+            ends = place[theirs] >= last_begin[row[theirs]]
+            same = ends & (place[mine] < first_end[row[mine]]) & (last_id[row[theirs]] == first_id[row[mine]])
+            same |= row[mine] == row[theirs]
+            mine, theirs = mine[~same], theirs[~same]
+        inner = np.lexsort((place[mine], row[mine]))
+        mine, theirs = mine[inner], theirs[inner]
+        numbers = np.array([r["slice"] for r in rows], np.int64)
+        for lo, hi in _cuts(row[mine]):
+            s = theirs[lo:hi]
+            out.append((rows[int(row[mine[lo]])]["slice"], _pack(place[mine[lo:hi]]), None, _pack(numbers[row[s]]), _pack(place[s])))
+    return pa.Table.from_batches([_batch(SOURCES, out)])
+
+
+def _paths(table: pa.Table) -> pa.Table:
+    """Of one slice: edges joined to the next where their sources are neighbours as well."""
+    rows = table.to_pylist()
+    whole = [r for r in rows if r["sizes"] is not None]
+    rows = [r for r in rows if r["sizes"] is None]
+    empty = np.zeros(0, np.int64)
+    parts = [tuple(_unpack(r[c]) for c in ("places", "src_slice", "source")) for r in rows] or [(empty,) * 3]
+    place, src, source = map(np.concatenate, zip(*parts, strict=True))
+    by = np.argsort(place)
+    place, src, source = place[by], src[by], source[by]
+    start = size = empty
+    if len(place):
+        start, size = _runs((np.diff(place) == 1) & (np.diff(src) == 0) & (np.diff(source) == 1))
+    columns = [place[start], size, src[start], source[start]]
+    for r in whole:
+        own = [_unpack(r["places"]), _unpack(r["sizes"]), _unpack(r["src_slice"]), _unpack(r["source"])]
+        own[2] = np.full(len(own[0]), own[2][0])
+        columns = [np.concatenate(x) for x in zip(columns, own, strict=True)]
+    number = table.column("slice")[0].as_py()
+    return pa.Table.from_arrays([pa.array(x, pa.int64()) for x in (np.full(len(columns[0]), number), *columns)], names=[x.split()[0] for x in PATHS.split(", ")])
+
+
+def covered_paths(slices: DataFrame, text: str, buckets: int, k: int = 13, seed: int = 1) -> DataFrame:
+    """Compacted paths of windows that also start in a document with a smaller doc_id.
 
-def _digest(joined: memoryview, begin: np.ndarray, size: np.ndarray, first: int, count: int) -> bytes:
-    return hashlib.blake2b(joined[begin[first] : begin[first + count - 1] + size[first + count - 1]], digest_size=16).digest()
+    Columns: slice, start and n (windows start .. start+n-1, in words of the slice), and src_slice and src_start of the
+    same words in a smaller document.
+    """
+    bits = max(0, (buckets - 1).bit_length())
+    edges = slices.mapInArrow(_emit(text, k, seed, bits), EDGES)
+    return stored(edges.groupBy("bucket").applyInArrow(_sources, SOURCES).groupBy("slice").applyInArrow(_paths, PATHS), "paths")
 
 
 class _Joined:
-    """The words of a slice joined by spaces, to take spans of words from."""
+    """The words of a slice joined by spaces, to digest spans of words of one document."""
 
     def __init__(self, w: tb.Words):
-        data, self.offsets = tb.join_words(w)
-        self.size = w.end - w.start
-        step = self.size + 1
-        self.begin = np.cumsum(step) - step - np.repeat(np.cumsum(w.counts > 0) - (w.counts > 0), w.counts)
-        self.bytes = memoryview(np.ascontiguousarray(data))
-        self.first = w.first
-
-    def digest(self, doc: int, start: int, count: int) -> bytes:
-        return _digest(self.bytes, self.begin, self.size, int(self.first[doc]) + start, count)
-
-
-def _read_sources(k: int):
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        data, _ = tb.join_words(w)
+        size = w.end - w.start
+        step = size + 1
+        begin = np.cumsum(step) - step - np.repeat(np.cumsum(w.counts > 0) - (w.counts > 0), w.counts)
+        self.bytes, self.begin, self.end = memoryview(np.ascontiguousarray(data)), begin, begin + size
+
+    def digests(self, at: np.ndarray, words: np.ndarray) -> list[bytes]:
+        made = hashlib.blake2b
+        return [made(self.bytes[a:b], digest_size=16).digest() for a, b in zip(self.begin[at].tolist(), self.end[at + words - 1].tolist(), strict=True)]
+
+
+def _cut_pieces(start: np.ndarray, words: np.ndarray, source: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Spans of words cut where the source's places are multiples of PIECE: (span, start, words, source start)."""
+    first, last = source // PIECE, (source + words - 1) // PIECE
+    several = last - first + 1
+    span = np.repeat(np.arange(len(start)), several)
+    block = np.arange(len(span)) - np.repeat(np.cumsum(several) - several, several) + first[span]
+    low = np.maximum(block * PIECE, source[span])
+    high = np.minimum((block + 1) * PIECE, (source + words)[span])
+    return span, start[span] + low - source[span], high - low, low
+
+
+def _asked(k: int):
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            wanted = batch.column(batch.schema.get_field_index("wanted")).to_pylist()
-            ids, marks = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            out = []
-            for i, j, data, offsets in tb.slices(*tb.column(batch)):
-                joined = _Joined(tb.words(data, offsets))
-                for d in range(i, j):
-                    out += [(ids[d], marks[d], x["src_start"], x["n"], joined.digest(d - i, x["src_start"], x["n"] + k - 1)) for x in wanted[d]]
-            kinds = [pa.int64()] * 4 + [pa.binary()]
-            columns = list(zip(*out, strict=True)) if out else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["src_id", "src_mark", "src_start", "n", "digest"])
-
-    return read
-
-
-def _remove(k: int, with_text: bool):
-    def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            spans = batch.column(batch.schema.get_field_index("spans"))
-            counts = pc.fill_null(pc.list_value_length(spans), 0).to_numpy(zero_copy_only=False)
-            flat = spans.flatten()
-            start, n, expect = (flat.field(x) for x in ("start", "n", "digest"))
-            start, n, ends = start.to_numpy(zero_copy_only=False), n.to_numpy(zero_copy_only=False), np.concatenate(([0], np.cumsum(counts)))
-            checked = np.flatnonzero(pc.is_valid(expect).to_numpy(zero_copy_only=False))
-            expect = expect.to_pylist()
-            removed, hexes, wrong, total, texts = [], [], [], [], []
-            for i, j, data, offsets in tb.slices(*tb.column(batch)):
-                w = tb.words(data, offsets)
-                owner = np.repeat(np.arange(j - i), counts[i:j])
-                lo, hi = ends[i], ends[j]
-                at = w.first[owner] + start[lo:hi]
-                change = np.zeros(len(w.start) + 1, np.int64)
-                np.add.at(change, at, 1)
-                np.add.at(change, at + n[lo:hi] + k - 1, -1)
-                keep = np.cumsum(change[:-1]) == 0
-                bad = np.zeros(j - i, np.int64)
-                own = checked[(checked >= lo) & (checked < hi)]
-                if len(own):
-                    joined = _Joined(w)
-                    for x in own:
-                        d = owner[x - lo]
-                        bad[d] += joined.digest(d, int(start[x]), int(n[x]) + k - 1) != expect[x]
-                out, where = tb.join_words(w, keep)
-                view = memoryview(np.ascontiguousarray(out))
-                hexes += [hashlib.sha256(view[a:b]).hexdigest() for a, b in zip(where[:-1].tolist(), where[1:].tolist(), strict=True)]
-                lost = np.bincount(w.doc[~keep], minlength=j - i)
-                if with_text:
-                    texts += [bytes(view[a:b]).decode() if x else None for a, b, x in zip(where[:-1].tolist(), where[1:].tolist(), lost.tolist(), strict=True)]
-                removed.append(lost)
-                total.append(w.counts)
-                wrong.append(bad)
-            if not removed:
-                continue
-            columns = [batch.column(0), batch.column(1), *[pa.array(np.concatenate(x).astype(np.int64)) for x in (total, removed)], pa.array(hexes, pa.string()), pa.array(np.concatenate(wrong))]
-            names = ["doc_id", "mark", "n_words", "n_removed", "kept_sha256", "_wrong"]
-            if with_text:
-                columns.append(pa.array(texts, pa.string()))
-                names.append("kept_text")
-            yield pa.RecordBatch.from_arrays(columns, names=names)
-            tb.release()
-
+            _, start, n, src, source = (batch.column(i).to_numpy() for i in range(5))
+            span, _, words, low = _cut_pieces(start, n + k - 1, source)
+            kinds = np.unique(np.stack([src[span], low, words]), axis=1) if len(span) else np.zeros((3, 0), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in kinds], names=["slice", "start", "n"])
+
+    return ask
+
+
+def _remove(text: int, n_chars: int | None, k: int, whole_rows: bool, names: list[str]):
+    """Of one slice: its rows after removal, and the digests of the spans that it takes from others and that others take from it."""
+
+    def remove(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            raise ValueError("paths of no slice")
+        batch = _read(left.column("rows")[0].as_py())
+        w = _words(batch, f"c{text}")
+        start, n, src, source = (right.column(c).to_numpy() for c in ("start", "n", "src_slice", "src_start"))
+        own = right.column("own").to_numpy(zero_copy_only=False).astype(bool)
+        change = np.zeros(len(w.start) + 1, np.int64)
+        np.add.at(change, start[own], 1)
+        np.add.at(change, start[own] + n[own] + k - 1, -1)
+        keep = np.cumsum(change[:-1]) == 0
+        joined = _Joined(w)
+        span, at, words, low = _cut_pieces(start[own], n[own] + k - 1, source[own])
+        number = left.column("slice")[0].as_py()
+        proofs = [np.concatenate(x) for x in ((src[own][span], np.full((~own).sum(), number)), (low, start[~own]), (words, n[~own]))]
+        digests = joined.digests(at, words) + joined.digests(start[~own], n[~own])
+        data, where = tb.join_words(w, keep)
+        view, where = memoryview(np.ascontiguousarray(data)), where.tolist()
+        lost = np.bincount(w.doc[~keep], minlength=batch.num_rows).astype(np.int64)
+        if whole_rows:
+            texts = pa.array([bytes(view[a:b]).decode() if x else None for a, b, x in zip(where, where[1:], lost.tolist(), strict=False)], pa.string())
+            columns = list(batch.columns[1:])
+            columns[text] = pc.coalesce(texts, columns[text].cast(pa.string()))
+            if n_chars is not None:
+                columns[n_chars] = pc.if_else(pc.is_valid(texts), pc.utf8_length(texts).cast(columns[n_chars].type), columns[n_chars])
+        else:
+            hexes = [hashlib.sha256(view[a:b]).hexdigest() for a, b in zip(where, where[1:], strict=False)]
+            columns = [batch.column(1), pa.array(w.counts.astype(np.int64)), pa.array(lost), pa.array(hexes, pa.string())]
+        columns = [x.cast(pa.int64()) if pa.types.is_null(x.type) else x for x in columns]
+        rows = pa.Table.from_arrays([pa.StructArray.from_arrays(columns, names=names), *[pa.nulls(batch.num_rows, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.binary())]], names=out)
+        found = pa.Table.from_arrays([pa.nulls(len(digests), rows.schema.field(0).type), *map(pa.array, proofs), pa.array(digests, pa.binary())], names=out)
+        tb.release()
+        return pa.concat_tables([rows, found])
+
+    out = ["row", *[x.split()[0] for x in PROOFS.split(", ")]]
     return remove
 
 
-def remove_repeats(docs: DataFrame, k: int = 13, *, m: int = 5, with_text: bool = False, seeds: int = 4) -> DataFrame:
-    """doc_id, mark, n_words, n_removed, kept_sha256 (and kept_text, null if nothing is removed) of each row of docs.
+def _removed(docs: DataFrame, k: int, seeds: int, whole_rows: bool, n_chars: str | None = None) -> DataFrame:
+    text = docs.columns.index("text")
+    number = docs.columns.index(n_chars) if n_chars in docs.columns else None
+    if whole_rows:
+        names, types = [f"c{i}" for i in range(len(docs.columns))], [f.dataType.simpleString() for f in docs.schema.fields]
+    else:
+        names, types = ["doc_id", "n_words", "n_removed", "kept_sha256"], [docs.schema["doc_id"].dataType.simpleString(), "bigint", "bigint", "string"]
+    row = ", ".join(f"{n}: {t}" for n, t in zip(names, types, strict=True))
+    _, buckets = pieces(docs, "text", BUCKET_BYTES)
+    slices = sliced(docs)
+    for seed in range(1, seeds + 1):
+        paths = covered_paths(slices, f"c{text}", buckets, k, seed)
+        asked = paths.mapInArrow(_asked(k), "slice bigint, start bigint, n bigint").distinct()
+        spans = paths.withColumn("own", F.lit(True)).unionByName(asked.withColumn("own", F.lit(False)), allowMissingColumns=True).fillna(0)
+        out = slices.groupBy("slice").cogroup(spans.groupBy("slice")).applyInArrow(_remove(text, number, k, whole_rows, names), f"row struct<{row}>, {PROOFS}")
+        out = stored(out, "kept")
+        proofs = out.where("src_slice is not null").groupBy("src_slice", "src_at", "words").agg(F.min("digest").alias("one"), F.max("digest").alias("two"))
+        if proofs.where("one != two").isEmpty():
+            return out.where("src_slice is null").select("row.*")
+    raise RuntimeError(f"windows of different words shared a hash under {seeds} seeds")
+
+
+def remove_repeats(docs: DataFrame, k: int = 13, *, seeds: int = 4) -> DataFrame:
+    """doc_id, n_words, n_removed and kept_sha256 of each row of docs.
 
     Each word covered by a window of k words that also starts in a document with a smaller doc_id is removed; windows
-    are judged on the input.  Null and empty texts have no words.  A null doc_id is smaller than none and larger than
-    none: such rows are kept whole.  Rows that share a doc_id do not affect each other, and repeated rows get the same
-    result.  Hashes only propose: each path's words are compared with those at its source, and should two windows ever
-    share a hash, all is done again with another.
+    are judged on the input.  Null and empty texts have no words; texts of any length stay in one slice.  Rows with a
+    null doc_id are kept whole and are no one's source.  Rows that share a doc_id do not affect each other, and repeated
+    rows get the same result.  Columns other than doc_id and text are not read.  Hashes only propose: the words of every
+    path are compared with those at its source, and should two windows ever share a hash (some 64 bits and those that
+    choose the bucket), all is done again with another.
     """
-    for seed in range(1, seeds + 1):
-        spans = stored(covered_spans(docs, k, m, seed), "spans")
-        rows = keyed(docs)
-        asked = spans.where("src_id is not null").select("src_id", "src_mark", "src_start", "n").distinct()
-        asked = asked.groupBy(F.col("src_id").alias("doc_id"), F.col("src_mark").alias("mark")).agg(F.collect_list(F.struct("src_start", "n")).alias("wanted"))
-        real = rows.where("doc_id is not null")
-        sources = real.join(asked.hint("shuffle_hash"), KEYS)
-        digests = sources.select(*KEYS, "text", "wanted").mapInArrow(_read_sources(k), "src_id bigint, src_mark bigint, src_start bigint, n bigint, digest binary").groupBy("src_id", "src_mark", "src_start", "n").agg(F.min("digest").alias("digest"))
-        known = spans.join(digests, ["src_id", "src_mark", "src_start", "n"], "left")
-        gathered = known.groupBy(*KEYS).agg(F.collect_list(F.struct("start", "n", "digest")).alias("spans"))
-        empty = F.array().cast("array<struct<start:bigint,n:bigint,digest:binary>>")
-        both = real.join(gathered.hint("shuffle_hash"), KEYS, "left").select(*KEYS, "text", F.coalesce("spans", empty).alias("spans"))
-        both = both.unionByName(rows.where("doc_id is null").select(*KEYS, "text", empty.alias("spans")))
-        schema = "doc_id bigint, mark bigint, n_words bigint, n_removed bigint, kept_sha256 string, _wrong bigint" + (", kept_text string" if with_text else "")
-        out = stored(both.mapInArrow(_remove(k, with_text), schema), "kept")
-        if not out.agg(F.sum("_wrong")).first()[0]:
-            return out.drop("_wrong")
-    raise RuntimeError(f"windows of different words shared a hash under {seeds} seeds")
+    return _removed(docs.select("doc_id", "text"), k, seeds, False)
 
 
-def without_repeats(docs: DataFrame, k: int = 13, *, n_chars: str = "n_chars") -> DataFrame:
+def without_repeats(docs: DataFrame, k: int = 13, *, n_chars: str = "n_chars", seeds: int = 4) -> DataFrame:
     """docs with the words that remove_repeats removes taken out of ``text``, and n_chars (if there is one) made to fit.
 
     A text that loses words becomes its other words joined by one space; one left without words becomes empty.  Texts
-    that lose none, null ones included, stay as they are, and every row stays.
+    that lose none, null ones included, stay as they are, and every row stays, with all its columns, whatever their names.
     """
-    kept = remove_repeats(docs, k, with_text=True).where("n_removed > 0").groupBy(*KEYS).agg(F.first("kept_text").alias("_kept"))
-    mark = F.xxhash64("text").bitwiseAND(F.lit(0xFFFFFFFF))
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), mark.alias("mark"))
-    joined = whole.join(kept.hint("shuffle_hash"), KEYS, "left")
-    new = {"text": F.coalesce("_kept", "row.text")}
-    if n_chars in docs.columns:
-        new[n_chars] = F.when(F.col("_kept").isNotNull(), F.char_length("_kept").cast(docs.schema[n_chars].dataType)).otherwise(F.col(f"row.{n_chars}"))
-    return joined.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+    out = _removed(docs, k, seeds, True, n_chars)
+    return out.select(*[F.col(f"c{i}").cast(f.dataType).alias(f.name) for i, f in enumerate(docs.schema.fields)])

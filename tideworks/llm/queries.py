@@ -25,7 +25,7 @@ def op1_suffix_array_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_debruijn_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tideworks.llm.debruijn import remove_repeats
 
-    return remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("mark")
+    return remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op3_digest_cache_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ bounded size; a document is never split between slices.
 from __future__ import annotations
 
 import ctypes
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,9 +17,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 SLICE_BYTES = 2 << 20
-BLOCK = 1 << 18
+LONG_WORD = 256  # bytes, from which on words are hashed one by one
 U64 = np.uint64
-BASE = 0x5851F42D4C957F2D  # odd, so it has an inverse modulo 2**64
+BASE = 0x5851F42D4C957F2D  # odd
 MASK = (1 << 64) - 1
 
 IS_SPACE = np.zeros(256, bool)
@@ -31,16 +32,6 @@ except (OSError, AttributeError):  # another C library
     _trim = None
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, U64)
-    out[:1] = 1
-    return np.multiply.accumulate(out)
-
-
-_POW = _powers(BASE, BLOCK + 1)
-_INV = _powers(pow(BASE, -1, 1 << 64), BLOCK + 1)
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit words whose output bits all depend on all input bits."""
     x = x ^ (x >> U64(30))
@@ -50,23 +41,31 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of data[start:end] for ascending, disjoint spans: differences of prefix sums of a polynomial."""
-    out = np.empty(len(start), U64)
-    i = 0
-    while i < len(start):
-        origin = int(start[i])
-        j = max(i + 1, int(np.searchsorted(end, origin + BLOCK, "right")))
-        part = data[origin : int(end[j - 1])]
-        power, inverse = _POW, _INV
-        if len(part) > BLOCK:  # one span longer than a block
-            power, inverse = _powers(BASE, len(part) + 1), _INV
-        sums = np.zeros(len(part) + 1, U64)
-        np.cumsum((part.astype(U64) + U64(1)) * power[: len(part)], out=sums[1:])
-        s, e = start[i:j] - origin, end[i:j] - origin
-        out[i:j] = (sums[e] - sums[s]) * inverse[s]
-        i = j
-    return mix(out ^ ((end - start).astype(U64) * U64(0x9E3779B97F4A7C15)))
+_SOME = (U64(1) << (U64(8) * np.arange(8, dtype=U64))) - U64(1)  # masks of the low 0 .. 7 bytes
+_LOW = np.append(_SOME, ~U64(0))
+
+
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """Keyed 64-bit hashes of data[start:end], eight bytes at a time through a bijection that is not linear.
+
+    Spans of one length of up to eight bytes never share a hash; others do by chance, and another seed parts them.
+    """
+    size = end - start
+    out = mix(size.astype(U64) * U64(BASE) + U64((seed * 0x9E3779B97F4A7C15 + 0x3C6EF372FE94F82B) & MASK))
+    if not len(start):
+        return out
+    eight = np.ndarray(len(data) + 1, "<u8", np.concatenate((data, np.zeros(8, np.uint8))), strides=(1,))
+    at, left, place = np.arange(len(start)), size, start
+    for _ in range(LONG_WORD // 8):
+        out[at] = mix(out[at] ^ (eight[place] & _LOW[np.minimum(left, 8)]))
+        more = np.flatnonzero(left > 8)
+        if not len(more):
+            return out
+        at, left, place = at[more], left[more] - 8, place[more] + 8
+    key = seed.to_bytes(8, "little")
+    for i in at.tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8, key=key).digest(), "little")
+    return out
 
 
 @dataclass
@@ -117,7 +116,7 @@ def slices(data: np.ndarray, offsets: np.ndarray, limit: int = SLICE_BYTES) -> I
         i = j
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> Words:
+def words(data: np.ndarray, offsets: np.ndarray, seed: int = 0) -> Words:
     inside = ~IS_SPACE[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
@@ -125,7 +124,7 @@ def words(data: np.ndarray, offsets: np.ndarray) -> Words:
     end = np.flatnonzero(inside & (np.concatenate((~inside[1:], [True])) | edge[1:])) + 1 if len(data) else np.zeros(0, np.int64)
     first = np.searchsorted(start, offsets)
     doc = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
-    return Words(data, offsets, start, end, span_hashes(data, start, end), doc, first)
+    return Words(data, offsets, start, end, span_hashes(data, start, end, seed), doc, first)
 
 
 def release() -> None:
