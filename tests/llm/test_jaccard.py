@@ -3,7 +3,9 @@ import random
 import numpy as np
 
 from tests.llm.cases import ROWS, clashing, empty, odd, prose, words
+from tests.llm.test_passages import morse
 from tideworks.llm import jaccard
+from tideworks.llm.components import components, narrowed
 
 
 def plain(rows, k=5):
@@ -69,3 +71,25 @@ def test_one_row_of_each_class_stays(spark):
     assert out.columns == df.columns
     ids = sorted((r.doc_id for r in out.collect()), key=lambda x: (x is None, x))
     assert ids == [1, 4, 5, 6, 7, 8, 9, 11, 12, 13] + [None] * ids.count(None)
+
+
+def test_words_that_weak_hashes_confuse(spark):
+    x, y = morse(4096)
+    rows = [(1, f"{prose(1, 6)} {x}"), (2, f"{prose(1, 6)} {y}"), (3, f"{prose(1, 6)} {y}")]
+    assert got(jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"))) == plain(rows)
+
+
+def test_components_of_chains_stars_and_apart(spark):
+    r = random.Random(3)
+    names = r.sample(range(1000), 300)
+    edges = [(names[i], names[i + 1]) for i in range(120)] + [(names[150], names[i]) for i in range(151, 220)] + [(names[i], names[i + 1]) for i in range(230, 300 - 1, 2)] + [(5000, 5000)]
+    got_ = {x.node: x.label for x in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    want = {n: min(g) for g in (names[:121], names[150:220], *[names[i : i + 2] for i in range(230, 299, 2)]) for n in g}
+    assert got_ == want
+
+
+def test_edges_of_a_large_group_are_few(spark):
+    """5,000 texts that meet in 28 places each: an edge a text and some between leaders, not 28."""
+    stars = spark.range(1, 5000).selectExpr("id node", "explode(transform(sequence(0, 27), b -> CASE WHEN pmod(xxhash64(id, b), 4) > 0 THEN 0 ELSE b END)) leader").where("leader < node")
+    few = narrowed(stars)
+    assert few.count() < 5100 and {x.label for x in components(few).select("label").distinct().collect()} == {0}

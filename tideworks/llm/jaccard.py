@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideworks.llm import textbytes as tb
-from tideworks.llm.components import components
+from tideworks.llm.components import components, narrowed
 from tideworks.llm.shared import stored
 
 
@@ -206,9 +206,8 @@ def near_duplicates(docs: DataFrame, p: JaccardJoin | None = None) -> DataFrame:
 
     banded = stored(rows.select("cid", "text").mapInArrow(bands, "cid bigint, band bigint"), "bands")
     leaders = banded.groupBy("band").agg(F.min("cid").alias("leader"), F.max("cid").alias("last")).where("leader != last")
-    keys = stored(banded.join(leaders, "band").where("cid != leader").select("leader", "cid").distinct(), "stars")
-    nodes = keys.select("cid").union(keys.select("leader")).distinct()
-    spread = components(keys.select(F.col("cid").alias("a"), F.col("leader").alias("b")), nodes.select(F.col("cid").alias("node"), F.col("cid").alias("label")))
+    stars = banded.join(leaders, "band").where("cid != leader").select(F.col("cid").alias("node"), "leader")
+    spread = components(narrowed(stars))
     blocks = F.ceil(F.col("size") / p.block).cast("int")
     sizes = spread.groupBy("label").agg(F.count("*").alias("size"))
     placed = spread.join(sizes, "label").select(F.col("node").alias("cid"), "label", blocks.alias("blocks"))
@@ -233,9 +232,7 @@ def near_duplicates(docs: DataFrame, p: JaccardJoin | None = None) -> DataFrame:
     spreadout = loaded.select("*", F.inline(pairs)).drop("blocks")
     found = stored(spreadout.groupBy("label", "i", "j").applyInArrow(_verify(p), "digest binary, leader binary, class_links bigint, links bigint"), "links")
     links = found.groupBy("digest").agg(F.sum("class_links").alias("class_links"), F.sum("links").alias("links"))
-    linked = classes.join(links.select("digest"), "digest").select(F.col("digest").alias("node"), "rep", "cid")
-    # Labels stand for nodes one to one; ids of the nodes do that even where doc_ids repeat or are null.
-    named = components(found.where("digest != leader").select(F.col("digest").alias("a"), F.col("leader").alias("b")), linked.select("node", F.col("cid").alias("label")))
+    named = components(narrowed(found.where("digest != leader").select(F.col("digest").alias("node"), "leader")))
     named = named.join(classes.select(F.col("digest").alias("node"), "rep"), "node")
     least = named.groupBy("label").agg(F.min("rep").alias("class_id"))
     ends = links.join(named.join(least, "label").select(F.col("node").alias("digest"), "class_id"), "digest")
