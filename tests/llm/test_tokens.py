@@ -1,10 +1,13 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
 from tests.llm.cases import ROWS, clashing, empty, odd
 from tideworks.llm import bpe, tokencounts
+from tideworks.llm import textbytes as tb
 from tideworks.llm.queries import tokenizer_path
 
 ALPHABET = "abcdeAZ éß'İΣσς́​\xa0　字漢が1٣½²-_!<|endoftext|>\t\n\x85\x1c\U0001f600éﬁǅK"
@@ -17,21 +20,26 @@ def texts(n):
 
 def test_word_bpe_equals_the_library():
     path = tokenizer_path("word_bpe_49k.json")
-    library, own = Tokenizer.from_file(path), bpe.WordBpe(open(path).read(), cache_words=50)
-    for t in texts(1500):
-        ids = library.encode(t, add_special_tokens=False).ids
-        assert own.encode(t) == ids and own.spell(t)[2] == own.decode(ids) == library.decode(ids, skip_special_tokens=False)
+    library, own = Tokenizer.from_file(path), bpe.WordBpe(open(path).read(), known_pieces=50)
+    some = texts(1500) + [f"a{c}b {c}x" for c in "\u0558\u088f\u0c5c\U00010940"]
+    want = [library.encode(t, add_special_tokens=False).ids for t in some]
+    for t, ids in zip(some, want, strict=True):
+        assert own.encode(t) == ids and own.decode(ids) == library.decode(ids, skip_special_tokens=False)
+    every, first = bpe.WordBpe(open(path).read()).encode_texts(*tb.column(pa.record_batch([pa.array(some)], ["text"])))
+    assert [every[a:b].tolist() for a, b in zip(first, first[1:], strict=False)] == want
+    assert own.decode([5, 10**9, -1]) == library.decode([5], skip_special_tokens=False)
 
 
 def test_short_and_long_words_merge_alike():
     own, r = bpe.WordBpe(open(tokenizer_path("word_bpe_49k.json")).read()), random.Random(1)
-    for _ in range(300):
-        parts = [own.inner[ord(r.choice("theandiosr"))] for _ in range(r.randint(1, 90))]
-        assert own.merge_short(parts[:]) == own.merge_long(parts[:])
+    for width in (1, 2, 3, 5, 9, 17, 64):
+        parts = np.array([[own.inner[ord(r.choice("theandiosr"))] for _ in range(width)] for _ in range(40)], np.int32)
+        merged, count = own.merge_short(parts)
+        assert [x[:n].tolist() for x, n in zip(merged, count, strict=True)] == [own.merge_long(x.tolist()) for x in parts]
 
 
 def test_encode_decode_rows(spark):
-    out = bpe.encode_decode(odd(spark), tokenizer_path("word_bpe_49k.json"), ids=True).collect()
+    out = bpe.encode_decode(clashing(spark, ["ids", "n_tokens"]), tokenizer_path("word_bpe_49k.json"), ids=True).collect()
     assert len(out) == len(ROWS) and {r.n_tokens for r in out if r.doc_id in (4, 5, 6)} == {0}
     assert all(len(r.ids) == r.n_tokens for r in out)
     assert bpe.encode_decode(empty(spark), tokenizer_path("word_bpe_49k.json")).count() == 0
