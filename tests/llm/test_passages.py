@@ -65,7 +65,7 @@ def test_digests_tell_windows_of_one_hash_apart(spark, monkeypatch):
         if weak:
             monkeypatch.setattr(tb, "gram_hashes", lambda h, k, seed=0: np.zeros(max(0, len(h) - k + 1), np.uint64))
         edges = debruijn._edges(7, batch, "c1", 13, 1, 0)
-        sources = debruijn._sources(pa.Table.from_batches([debruijn._batch(debruijn.EDGES, edges)]))
+        sources = debruijn._sources(pa.Table.from_batches([debruijn.batch_of(debruijn.EDGES, edges)]))
         assert (sources.num_rows > 0) == weak
     paths = debruijn._paths(sources)
     asked = pa.Table.from_batches(debruijn._asked(13)(paths.to_batches()))
@@ -88,7 +88,7 @@ def test_a_doc_id_over_several_slices(spark, monkeypatch):
     base = prose(3, 30)
     rows = [(5, f"{prose(i, 15)} {base} {prose(20 + i, 15)}") for i in range(12)] + [(6, f"{base} {prose(60, 9)} {base}"), (7, base), (4, prose(0, 15) + " z")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
-    monkeypatch.setattr(debruijn, "sliced", lambda d, limit=300, f=debruijn.sliced: f(d, limit))
+    monkeypatch.setattr(debruijn, "ordered_slices", lambda d, f=debruijn.ordered_slices: f(d, 300))
     assert got(debruijn.remove_repeats(df)) == plain(rows)
 
 

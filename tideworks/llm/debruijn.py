@@ -17,85 +17,36 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideworks.llm import textbytes as tb
-from tideworks.llm.shared import pieces, stored
+from tideworks.llm.shared import batch_of, cuts_of, pack, pieces, read_rows, sliced, stored, unpack
 
 SLICE = 4 << 20
 BUCKET_BYTES = 8 << 20
 PIECE = 32  # words of a source that one digest covers at most
-SLICES = "slice bigint, rows binary"
 EDGES = "bucket bigint, slice bigint, gaps binary, hashes binary, first_id bigint, last_id bigint, first_end bigint, last_begin bigint, source binary, sizes binary"
 SOURCES = "slice bigint, places binary, sizes binary, src_slice binary, source binary"
 PATHS = "slice bigint, start bigint, n bigint, src_slice bigint, src_start bigint"
-# Rows of megabytes, compressed already: a row group ends after some of them, not after the writer's usual hundreds.
-BLOBS = {"compression": "none", "parquet.block.size": str(16 << 20), "parquet.block.size.row.check.min": "1", "parquet.page.size.row.check.min": "1"}
 PROOFS = "src_slice bigint, src_at bigint, words bigint, digest binary"
 
 
-def _pack(x: np.ndarray) -> bytes:
-    """Non-negative integers in the fewest bytes that hold them all."""
-    top = int(x.max()) if len(x) else 0
-    kind = next(c for c, m in (("B", 8), ("H", 16), ("I", 32), ("Q", 64)) if top < 1 << m)
-    return kind.encode() + x.astype(kind).tobytes()
-
-
-def _unpack(raw: bytes) -> np.ndarray:
-    return np.frombuffer(raw, chr(raw[0]), offset=1).astype(np.int64)
-
-
-def _cuts(x: np.ndarray) -> list[tuple[int, int]]:
-    """(from, to) of each run of equal values."""
-    at = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1]))) if len(x) else np.zeros(0, np.int64)
-    return list(zip(at.tolist(), [*at[1:].tolist(), len(x)], strict=len(x) > 0))
-
-
 def _runs(follows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and sizes of maximal runs; follows[i] says that item i+1 continues item i."""
     start = np.flatnonzero(np.concatenate(([True], ~follows)))
     return start, np.diff(np.concatenate((start, [len(follows) + 1])))
 
 
-def _batch(schema: str, rows: list[tuple]) -> pa.RecordBatch:
-    names, types = zip(*(x.split() for x in schema.split(", ")), strict=True)
-    kinds = {"bigint": pa.int64(), "binary": pa.binary()}
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[t]) for i, t in enumerate(types)], names=list(names))
-
-
 def _columns(docs: DataFrame) -> list[Column]:
     """doc_id as a number, then every column of docs by its place, so that no name clashes."""
     return [F.col("doc_id").cast("long").alias("id"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]]
 
 
-def sliced(docs: DataFrame, limit: int = SLICE) -> DataFrame:
-    """(slice, rows): runs of whole documents by ascending doc_id, and as numbers ascending too; null ids come first."""
-    text = f"c{docs.columns.index('text')}"
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 32
-        for batch in batches:
-            for i, j, *_ in tb.slices(*tb.column(batch, text), limit):
-                sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-                    out.write_batch(batch.slice(i, j - i))
-                yield _batch(SLICES, [(number, sink.getvalue().to_pybytes())])
-                number += 1
-            tb.release()
-
+def ordered_slices(docs: DataFrame, limit: int = SLICE) -> DataFrame:
+    """Slices by ascending doc_id, so that their numbers ascend with it; null ids come first."""
     ordered = docs.select(*_columns(docs)).repartitionByRange("id").sortWithinPartitions("id")
-    return stored(ordered.mapInArrow(cut, SLICES), "slices", **BLOBS)
-
-
-def _read(raw: bytes) -> pa.RecordBatch:
-    return pa.ipc.open_stream(raw).read_next_batch()
-
-
-def _words(batch: pa.RecordBatch, text: str, seed: int = 0) -> tb.Words:
-    data, offsets = tb.column(batch, text)
-    return tb.words(data[offsets[0] : offsets[-1]], offsets - offsets[0], seed)
+    return sliced(ordered, f"c{docs.columns.index('text')}", limit)
 
 
 def _ids(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -105,7 +56,7 @@ def _ids(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
 
 def _edges(number: int, batch: pa.RecordBatch, text: str, k: int, seed: int, bits: int) -> list[tuple]:
     """Rows of EDGES of a slice: by bucket the places of its edges, of each in the least document that has it; and, as one row without hashes, paths of edges that a smaller document of the slice has."""
-    w = _words(batch, text, seed)
+    w = tb.words_of(batch, text, seed)
     if len(w.start) < k:
         return []
     ids, named = _ids(batch)
@@ -127,15 +78,15 @@ def _edges(number: int, batch: pa.RecordBatch, text: str, k: int, seed: int, bit
         by = np.argsort(order[later])
         place, source = order[later][by], head[later][by]
         first, size = _runs((np.diff(place) == 1) & (np.diff(source) == 1))
-        rows.append((number % (1 << bits), number, _pack(np.diff(place[first], prepend=0)), None, *bounds, _pack(source[first]), _pack(size)))
+        rows.append((number % (1 << bits), number, pack(np.diff(place[first], prepend=0)), None, *bounds, pack(source[first]), pack(size)))
     place = np.sort(order[~later])
     one, two = edge[place], tb.gram_hashes(w.hash, k, ~seed)[place]
     bucket = (one >> tb.U64(64 - bits)).astype(np.int64) if bits else np.zeros(len(one), np.int64)
     sent = (one << tb.U64(bits)) | (two & tb.U64((1 << bits) - 1))
     by = np.argsort(bucket, kind="stable")
-    for lo, hi in _cuts(bucket[by]):
+    for lo, hi in cuts_of(bucket[by]):
         own = by[lo:hi]
-        rows.append((int(bucket[own[0]]), number, _pack(np.diff(place[own], prepend=0)), sent[own].tobytes(), *bounds, None, None))
+        rows.append((int(bucket[own[0]]), number, pack(np.diff(place[own], prepend=0)), sent[own].tobytes(), *bounds, None, None))
     return rows
 
 
@@ -143,8 +94,8 @@ def _emit(text: str, k: int, seed: int, bits: int):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for number, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if rows := _edges(number, _read(raw.as_py()), text, k, seed, bits):
-                    yield _batch(EDGES, rows)
+                if rows := _edges(number, read_rows(raw.as_py()), text, k, seed, bits):
+                    yield batch_of(EDGES, rows)
                 tb.release()
 
     return emit
@@ -153,11 +104,11 @@ def _emit(text: str, k: int, seed: int, bits: int):
 def _sources(table: pa.Table) -> pa.Table:
     """Of one bucket: for each slice the places of edges that an earlier document has, and where it has them."""
     rows = sorted(table.to_pylist(), key=lambda r: r["slice"])
-    out = [(r["slice"], _pack(np.cumsum(_unpack(r["gaps"]))), r["sizes"], _pack(np.array([r["slice"]])), r["source"]) for r in rows if r["hashes"] is None]
+    out = [(r["slice"], pack(np.cumsum(unpack(r["gaps"]))), r["sizes"], pack(np.array([r["slice"]])), r["source"]) for r in rows if r["hashes"] is None]
     rows = [r for r in rows if r["hashes"] is not None]
     if rows:
         edge = np.concatenate([np.frombuffer(r["hashes"], np.uint64) for r in rows])
-        place = [np.cumsum(_unpack(r["gaps"])) for r in rows]
+        place = [np.cumsum(unpack(r["gaps"])) for r in rows]
         row = np.repeat(np.arange(len(rows)), [len(x) for x in place])
         place = np.concatenate(place)
         by = np.argsort(edge, kind="stable")  # within an edge by slice
@@ -174,10 +125,10 @@ def _sources(table: pa.Table) -> pa.Table:
         inner = np.lexsort((place[mine], row[mine]))
         mine, theirs = mine[inner], theirs[inner]
         numbers = np.array([r["slice"] for r in rows], np.int64)
-        for lo, hi in _cuts(row[mine]):
+        for lo, hi in cuts_of(row[mine]):
             s = theirs[lo:hi]
-            out.append((rows[int(row[mine[lo]])]["slice"], _pack(place[mine[lo:hi]]), None, _pack(numbers[row[s]]), _pack(place[s])))
-    return pa.Table.from_batches([_batch(SOURCES, out)])
+            out.append((rows[int(row[mine[lo]])]["slice"], pack(place[mine[lo:hi]]), None, pack(numbers[row[s]]), pack(place[s])))
+    return pa.Table.from_batches([batch_of(SOURCES, out)])
 
 
 def _paths(table: pa.Table) -> pa.Table:
@@ -186,7 +137,7 @@ def _paths(table: pa.Table) -> pa.Table:
     whole = [r for r in rows if r["sizes"] is not None]
     rows = [r for r in rows if r["sizes"] is None]
     empty = np.zeros(0, np.int64)
-    parts = [tuple(_unpack(r[c]) for c in ("places", "src_slice", "source")) for r in rows] or [(empty,) * 3]
+    parts = [tuple(unpack(r[c]) for c in ("places", "src_slice", "source")) for r in rows] or [(empty,) * 3]
     place, src, source = map(np.concatenate, zip(*parts, strict=True))
     by = np.argsort(place)
     place, src, source = place[by], src[by], source[by]
@@ -195,7 +146,7 @@ def _paths(table: pa.Table) -> pa.Table:
         start, size = _runs((np.diff(place) == 1) & (np.diff(src) == 0) & (np.diff(source) == 1))
     columns = [place[start], size, src[start], source[start]]
     for r in whole:
-        own = [_unpack(r["places"]), _unpack(r["sizes"]), _unpack(r["src_slice"]), _unpack(r["source"])]
+        own = [unpack(r["places"]), unpack(r["sizes"]), unpack(r["src_slice"]), unpack(r["source"])]
         own[2] = np.full(len(own[0]), own[2][0])
         columns = [np.concatenate(x) for x in zip(columns, own, strict=True)]
     number = table.column("slice")[0].as_py()
@@ -256,8 +207,8 @@ def _remove(text: int, n_chars: int | None, k: int, whole_rows: bool, names: lis
     def remove(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             raise ValueError("paths of no slice")
-        batch = _read(left.column("rows")[0].as_py())
-        w = _words(batch, f"c{text}")
+        batch = read_rows(left.column("rows")[0].as_py())
+        w = tb.words_of(batch, f"c{text}")
         start, n, src, source = (right.column(c).to_numpy() for c in ("start", "n", "src_slice", "src_start"))
         own = right.column("own").to_numpy(zero_copy_only=False).astype(bool)
         change = np.zeros(len(w.start) + 1, np.int64)
@@ -300,7 +251,7 @@ def _removed(docs: DataFrame, k: int, seeds: int, whole_rows: bool, n_chars: str
         names, types = ["doc_id", "n_words", "n_removed", "kept_sha256"], [docs.schema["doc_id"].dataType.simpleString(), "bigint", "bigint", "string"]
     row = ", ".join(f"{n}: {t}" for n, t in zip(names, types, strict=True))
     _, buckets = pieces(docs, "text", BUCKET_BYTES)
-    slices = sliced(docs)
+    slices = ordered_slices(docs)
     for seed in range(1, seeds + 1):
         paths = covered_paths(slices, f"c{text}", buckets, k, seed)
         asked = paths.mapInArrow(_asked(k), "slice bigint, start bigint, n bigint").distinct()

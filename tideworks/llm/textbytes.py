@@ -127,6 +127,12 @@ def words(data: np.ndarray, offsets: np.ndarray, seed: int = 0) -> Words:
     return Words(data, offsets, start, end, span_hashes(data, start, end, seed), doc, first)
 
 
+def words_of(batch: pa.RecordBatch, name: str, seed: int = 0) -> Words:
+    """The words of a text column."""
+    data, offsets = column(batch, name)
+    return words(data[offsets[0] : offsets[-1]], offsets - offsets[0], seed)
+
+
 def release() -> None:
     """Give freed memory back to the system: workers stay between tasks, and what they hold counts for their executor."""
     pa.default_memory_pool().release_unused()
