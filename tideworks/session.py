@@ -57,4 +57,12 @@ def materialise(df: DataFrame, name: str = "round", **options: str) -> DataFrame
     path = scratch_path(df.sparkSession, name)
     with freed_shuffles(df.sparkSession):
         df.write.options(**options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Take the rows of tables that materialise wrote off the disk, when all that was made of them is written."""
+    for table in tables:
+        table.sparkSession.createDataFrame([], table.schema).coalesce(1).write.mode("overwrite").parquet(table.stored_at)
