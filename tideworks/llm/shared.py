@@ -11,10 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideworks.llm import textbytes as tb
+from tideworks.session import discard
 from tideworks.session import materialise as stored
 from tideworks.session import scratch_path as scratch
 
-__all__ = ["BLOBS", "batch_of", "cuts_of", "pack", "partitions", "pieces", "read_rows", "scratch", "sliced", "stored", "unpack"]
+__all__ = ["BLOBS", "batch_of", "cuts_of", "discard", "pack", "partitions", "pieces", "read_rows", "scratch", "sliced", "stored", "unpack"]
 
 SLICES = "slice bigint, rows binary"
 # Rows of megabytes: a row group ends after some of them, not after the writer's usual hundreds.
