@@ -38,3 +38,22 @@ def test_all_content_parts_stay():
     linked = "<ul><li><a href=x>Reference one</a></li><li><a href=y>Reference two</a></li></ul>"
     assert main_text(f"<body><article><h2><a href=z>Linked title</a></h2><p>{one}</p>{linked}</article></body>") == f"Linked title\n{one}\nReference one\nReference two"
     assert main_text(f"<body><div>{linked}<h2><a href=z>Linked title</a></h2><p>{one}</p></div></body>") == f"Linked title\n{one}"
+
+
+def test_broken_pages_take_one_pass():
+    import time
+
+    for unit in ("<a ", "<", "</", "<!--", "<a \"", "<p class='", "<script ", "<a><b>", "<a>\"'<", "<p x=\">", "&lt;<"):
+        began = time.time()
+        main_text(unit * (1_000_000 // len(unit)) if unit != "<a><b>" else unit * 2000)
+        assert time.time() - began < 4, unit
+    assert main_text('<p>One, two.</p><a title="never closed><p>Three, four, five.</p>') == "One, two.\nThree, four, five."
+
+
+def test_parts_of_an_article_whose_names_leave_doubt():
+    one = "Sentence one, which is long enough, and two, which is too. " * 3
+    page = f"""<article><p>{one}</p><p class="related">{one}</p><div class="social-history"><p>{one}</p></div>
+<p>Let <math><mi>x</mi></math> be 3, and so on.</p><div class="related-posts"><h3>Related</h3><ul><li><a href=x>Other</a></li></ul></div>
+<div class="notice">Read this.</div><div class="ad-box"><p>{one}</p></div></article>"""
+    said = one.strip()
+    assert main_text(page) == f"{said}\n{said}\n{said}\nLet x be 3, and so on."

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 
 # Element names of the HTML standard by role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = "script|style|noscript|template|textarea|title|iframe|noembed|xmp|svg|math|object|canvas|select"
+RAW = frozenset("script style noscript template textarea title iframe noembed svg canvas select".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 CLOSES_P = BLOCK - frozenset("body caption dd dt head html legend option tbody td tfoot th thead tr".split()) | {"dl"}
 ENDS = {"li": ("li", frozenset(("ul", "ol", "menu", "dir"))), "dt": ("dt dd", frozenset(("dl",))), "dd": ("dt dd", frozenset(("dl",))), "td": ("td th", frozenset(("tr", "table"))), "th": ("td th", frozenset(("tr", "table"))), "tr": ("tr", frozenset(("table", "tbody", "thead", "tfoot"))), "option": ("option", frozenset(("select",)))}
@@ -30,7 +30,12 @@ NAMES = frozenset("ad ads adv advert advertisement advertising adsense adbox ban
 
 CONTAINERS = frozenset(("", "html", "body", "article", "main", "section", "div", "center"))
 
-_TOKEN = re.compile(rf"""<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b(?:[^>"']|"[^"]*"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<end>/?)(?P<tag>[a-z][^\s/>]*)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?/][^>]*>|(?P<text>[^<]+|<)""", re.S | re.I)
+# Of these, names that parts of an article itself may have too, and words that class names add to any of them.
+DOUBTFUL = frozenset("alert copyright disclaimer discussion notice notices promo promotion recommended related share sharing social widget widgets".split())
+ADDED = frozenset("area article articles bar block body bottom box btn button buttons center col column container content div element footer group header holder icon icons id inline inner item items js left link links list main media middle modal module outer page panel post posts right row section site slot small sticky story stories text title top unit wrap wrapper".split())
+
+_NAME = re.compile(r"</?([A-Za-z][^\s/>]*)")
+_QUOTED = re.compile(r"""(?:[^>"']|"[^"]*"|'[^']*')*+""")
 _ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _WORDS = re.compile(r"[A-Za-z]+")
 _TITLES = re.compile(r"/(?:h[1-6]|p)(?:/|\Z)")  # headings and paragraphs, which no link list is made of
@@ -39,11 +44,12 @@ _PUNCTUATION = re.compile(r"[,.;:!?¡¿、。！，？]")
 
 @dataclass(frozen=True)
 class PathRules:
-    """share: of the best fused ratio, for a content path; article_hold: of content text, for article and main elements to be chosen; link_share: above it a path is a link list."""
+    """share: of the best fused ratio, for a content path; article_hold: of content text, for article and main elements to be chosen; link_share: above it a path is a link list; doubtful_share: of the best ratio, for the path of a part whose name leaves doubt."""
 
     share: float = 0.1
     article_hold: float = 0.3
     link_share: float = 0.8
+    doubtful_share: float = 0.5
 
 
 @dataclass
@@ -52,46 +58,106 @@ class _Block:
     path: str
     elements: tuple[int, ...]
     link_chars: int
+    doubtful: bool
+
+
+TEXT, OPEN, CLOSE = range(3)
 
 
-def _apart(tag: str, attrs: str, inside_article: bool) -> bool:
+def _tokens(page: str) -> Iterator[tuple[int, str, str]]:
+    """(TEXT, text, ""), (OPEN, tag, attributes) and (CLOSE, tag, "").
+
+    One pass: once a tag is found to have a quote that nothing closes, quotes count no more; a < that no > follows is
+    text, as is all after it; comments and raw elements that are never closed end the page.
+    """
+    at, quotes = 0, True
+    while at < len(page):
+        start = page.find("<", at)
+        if start < 0:
+            yield TEXT, page[at:], ""
+            return
+        if start > at:
+            yield TEXT, page[at:start], ""
+        if page.startswith("<!--", start):
+            end = page.find("-->", start + 4)
+            if end < 0:
+                return
+            at = end + 3
+            continue
+        name = _NAME.match(page, start)
+        if not name and page[start + 1 : start + 2] not in ("!", "?", "/"):
+            yield TEXT, "<", ""
+            at = start + 1
+            continue
+        after = name.end() if name else start + 2
+        end = -1
+        if name and quotes:
+            end = _QUOTED.match(page, after).end()
+            if end >= len(page) or page[end] != ">":
+                end, quotes = -1, False
+        if end < 0:
+            end = page.find(">", after)
+        if end < 0:
+            yield TEXT, page[start:], ""
+            return
+        at = end + 1
+        if not name:
+            continue
+        tag, closing = name.group(1).lower(), page[start + 1] == "/"
+        if tag in RAW:
+            if not closing:
+                close = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+                if not close:
+                    return
+                at = close.end()
+            continue
+        yield (CLOSE, tag, "") if closing else (OPEN, tag, page[after:end])
+
+
+CLEAR, DOUBT, APART_ = 0, 1, 2
+
+
+def _apart(tag: str, attrs: str, inside_article: bool) -> int:
+    """Whether markup sets an element apart from the article, or leaves it in doubt."""
     if tag in APART or tag == "header" and not inside_article:
-        return True
-    if not attrs:
-        return False
-    for name, value in _ATTR.findall(attrs):
+        return APART_
+    found = CLEAR
+    for name, value in _ATTR.findall(attrs) if attrs else ():
         name, value = name.lower(), value.strip("\"'").lower()
         if name in ("class", "id"):
-            words = set(_WORDS.findall(value))
-            if words & NAMES and not (tag in ("article", "main", "body", "html") and not words & {"comment", "comments", "reply"}):
-                return True
+            for one in value.split():
+                words = set(_WORDS.findall(one))
+                named = words & NAMES
+                if not named or words - NAMES - ADDED or tag in ("article", "main", "body", "html") and not named & {"comment", "comments", "reply"}:
+                    continue
+                if not inside_article or named - DOUBTFUL:
+                    return APART_
+                found = DOUBT
         elif name == "role" and value in ROLES or name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):
-            return True
-    return False
+            return APART_
+    return found
 
 
 def blocks(page: str) -> tuple[list[_Block], dict[int, str]]:
     """Blocks of text outside parts that are not content, in page order, and the tag of each element by number."""
     found: list[_Block] = []
     tags: dict[int, str] = {}
-    # Open elements: tag, number, path of block tags, whether in a part apart, whether in an article, whether in a link.
-    stack: list[tuple[str, int, str, bool, bool, bool]] = [("", 0, "", False, False, False)]
+    # Open elements: tag, number, path of block tags, whether in a part apart or in doubt, whether in an article, whether in a link.
+    stack: list[tuple[str, int, str, int, bool, bool]] = [("", 0, "", CLEAR, False, False)]
     pieces: list[tuple[str, bool]] = []
-    owner = (0, "", False)
+    owner = (0, "", CLEAR)
 
     def flush() -> None:
         if pieces:
             text = " ".join(entities.unescape("".join([p for p, _ in pieces])).split())
-            if text and not owner[2]:
+            if text and owner[2] != APART_:
                 links = sum([len(p.strip()) for p, linked in pieces if linked])
-                found.append(_Block(text, owner[1], tuple([e[1] for e in stack_of_owner]), links))
+                found.append(_Block(text, owner[1], tuple([e[1] for e in stack_of_owner]), links, owner[2] == DOUBT))
             pieces.clear()
 
     stack_of_owner: list = []
-    for token in _TOKEN.finditer(page):
-        kind = token.lastgroup
-        if kind == "text":
-            text = token.group()
+    for kind, text, attrs in _tokens(page):
+        if kind == TEXT:
             if not pieces:
                 if text.isspace():
                     continue
@@ -100,11 +166,8 @@ def blocks(page: str) -> tuple[list[_Block], dict[int, str]]:
                 stack_of_owner = list(stack)
             pieces.append((text, stack[-1][5]))
             continue
-        tag = token.group("tag")
-        if not tag:
-            continue
-        tag = tag.lower()
-        if token.group("end"):
+        tag = text
+        if kind == CLOSE:
             if tag in BLOCK:
                 flush()
             for depth in range(len(stack) - 1, 0, -1):
@@ -124,13 +187,14 @@ def blocks(page: str) -> tuple[list[_Block], dict[int, str]]:
             if tag in ENDS:
                 names, until = ENDS[tag]
                 _close(stack, tuple(names.split()), until)
-        if tag in VOID or token.group("attrs").endswith("/") and tag not in BLOCK:
+        if tag in VOID or attrs.endswith("/") and tag not in BLOCK:
             continue
         _, _, path, apart, article, link = stack[-1]
         number = len(tags) + 1
         tags[number] = tag
-        attrs = token.group("attrs")
-        stack.append((tag, number, f"{path}/{tag}" if tag in BLOCK else path, apart or _apart(tag, attrs, article), article or tag in ("article", "main"), link or tag == "a"))
+        state = _apart(tag, attrs, article) if apart != APART_ else APART_
+        mark = "~" if state == DOUBT else ""  # what is in doubt has a path of its own
+        stack.append((tag, number, f"{path}/{tag}{mark}" if tag in BLOCK or mark else path, max(apart, state), article or tag in ("article", "main"), link or tag == "a"))
     flush()
     return found, tags
 
@@ -175,9 +239,11 @@ def main_text(page: str | None, rules: PathRules = PathRules()) -> str:  # noqa:
     for b, length, mark in zip(found, lengths, marks, strict=True):
         fused[b.path] += length * (1 + mark) / sums[b.path][0]
     least = rules.share * max(fused.values())
+    plain = {p: x[1] * (x[0] + x[2]) / x[0] ** 2 for p, x in sums.items()}  # not smoothed: a part in doubt gains nothing by its neighbours
+    doubted = [b.doubtful and plain[b.path] < rules.doubtful_share * max(plain.values()) for b in found]
     lists = {p for p, s in sums.items() if s[3] > rules.link_share * (s[1] + s[3])}
     articles_of = [[e for e in b.elements if tags.get(e) in ("article", "main")] for b in found]
-    in_list = [b.path in lists and not within and not _TITLES.search(b.path) for b, within in zip(found, articles_of, strict=True)]
+    in_list = [d or b.path in lists and not within and not _TITLES.search(b.path) for b, within, d in zip(found, articles_of, doubted, strict=True)]
     held: dict[int, int] = defaultdict(int)
     total = in_articles = 0
     content = [i for i, b in enumerate(found) if fused[b.path] >= least and not in_list[i]]
