@@ -1,6 +1,6 @@
 import duckdb
 
-from tests.llm.cases import ROWS, empty, odd
+from tests.llm.cases import ROWS, clashing, empty, odd
 from tideworks.llm import licences
 
 MIT = "\n".join(["Copyright (c) 2024 x\n", *(licences.SENTENCES[k][0] + "." for k in ("MitGrant", "MitNotice", "AsIs", "NoLiability"))])
@@ -35,3 +35,17 @@ def test_equals_duckdb_and_keeps_rows(spark):
     rows = lambda x: sorted(tuple("" if str(v) in ("None", "nan", "<NA>") else str(v) for v in r) for r in x)
     assert rows(licences.licence_rules(docs).collect()) == rows(con.execute(licences.duckdb_sql()).df().itertuples(index=False))
     assert licences.licence_rules(docs).count() == len(ROWS) and licences.licence_rules(empty(spark)).count() == 0
+
+
+def test_notices_of_one_line_above_wrapped_text(spark):
+    """Each reading alone would lose what only the other knows."""
+    wrapped = MIT.replace(" and ", "\nand ").replace(" THE ", "\nTHE ")
+    got = scan(spark, f"SPDX-License-Identifier: MIT\n{wrapped.partition(chr(10) * 2)[2]}", f"Licensed under CC BY 4.0\nAll rights reserved\n\n{wrapped}", "Released under\nthe MIT\nLicense\nand so on ~ here | there")
+    assert got[0][1:3] == ("MitRef/MitGrant/MitNotice/AsIs/NoLiability", "MIT")
+    assert set(got[1][2].split(",")) >= {"MIT", "CC-BY-4.0", "all-rights-reserved"} and got[2][2] == "MIT"
+
+
+def test_long_texts_and_clashing_columns(spark):
+    long = "words of a line\n" * 200_000 + "Released under the MIT License.\n"
+    assert scan(spark, long)[0][:3] == (200_001, "MitRef", "MIT")
+    assert licences.licence_rules(clashing(spark, ["ids", "rest", "marked"])).count() == len(ROWS)

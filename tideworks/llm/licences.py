@@ -82,9 +82,10 @@ RULES = [
 ]
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-LINES = ("[.!?]+[ \t\r\n]+|\n", "|")
-WRAPPED = ("[.!?]+[ \t\r\n]+|\n[ \t\r]*\n", "|")
-REST = ("[^a-z0-9|]+", " ")
+# Marks: | where a sentence or paragraph ends, ~ where a line does.
+ENDS = ("[.!?]+[ \t\r\n]+|\n[ \t\r]*\n", "|")
+REST = ("[^a-z0-9|~]+", " ")
+MARKS = " ?([|~]) ?"
 
 
 def normal(sentence: str) -> str:
@@ -94,15 +95,21 @@ def normal(sentence: str) -> str:
 KNOWN = {normal(text): name for name, texts in SENTENCES.items() for text in texts}
 
 
-def _sentences(text: Column, ends: tuple[str, str]) -> Column:
-    """Normalised sentences: ASCII letters in lower case, all else between letters and digits one space."""
-    return F.split(F.regexp_replace(F.regexp_replace(F.translate(text, UPPER, LOWER), *[x.replace("$", "\\$") for x in ends]), *REST), r"\|")
+def _pattern() -> str:
+    """Known sentences between marks, longest first; a line may end between any two words of one."""
+    wrapped = ["(?: |~~)".join(x.split()) for x in sorted(KNOWN, key=lambda x: (-len(x), x))]
+    return "[|~](?:" + "|".join(wrapped) + ")[|~]"
 
 
-def _identifiers(sentences: Column) -> Column:
-    known = F.filter(F.transform(sentences, lambda x: F.trim(x)), lambda x: x.isin(list(KNOWN)))
+def _marked(text: Column) -> Column:
+    """ASCII letters in lower case, all else between letters and digits one space; each mark twice, so that each neighbour has its own."""
+    cut = F.replace(F.regexp_replace(F.translate(text, UPPER + "~", LOWER + " "), *ENDS), F.lit("\n"), F.lit("~"))
+    return F.concat(F.lit("|"), F.regexp_replace(F.trim(F.regexp_replace(cut, *REST)), MARKS, "$1$1"), F.lit("|"))
+
+
+def _identifiers(marked: Column) -> Column:
     names = F.create_map(*[F.lit(x) for pair in KNOWN.items() for x in pair])
-    return F.transform(known, lambda x: names[x])
+    return F.transform(F.regexp_extract_all(marked, F.lit(_pattern()), F.lit(0)), lambda x: names[F.trim(F.regexp_replace(x, "[|~]+", " "))])
 
 
 def _sequence(name: str) -> str:
@@ -115,14 +122,15 @@ def licence_rules(docs: DataFrame) -> DataFrame:
     n_sentences counts the sentences with a letter or digit, lines and sentence ends both ending one; sentence_ids has
     the known ones in order, joined by /; licences those that rules found, in the rules' order, joined by comma;
     n_unmatched the known sentences that no rule consumed; status is none, licensed, or partial where some are left.
-    Sentences wrapped over lines are looked for as well, and of the two readings the one with more known sentences
-    counts.  Null and empty texts have no sentences.  Each row stands alone: no shuffle, and the tables of sentences and
-    rules are fixed.
+    A known sentence is one or more whole lines or sentences in a row: where several start at a place, the longest
+    counts.  Null and empty texts have no sentences.  Each row stands alone: repeated rows get the same result, texts may
+    be of any length, no column but doc_id and text is read, there is no shuffle, and the tables of sentences and rules
+    are fixed.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    cut = docs.select("doc_id", _sentences(text, LINES).alias("lines"), _sentences(text, WRAPPED).alias("wrapped"))
-    named = cut.select("doc_id", F.size(F.filter("lines", lambda x: F.trim(x) != "")).cast("long").alias("n_sentences"), _identifiers(F.col("lines")).alias("by_line"), _identifiers(F.col("wrapped")).alias("by_paragraph"))
-    ids = F.when(F.size("by_paragraph") > F.size("by_line"), F.col("by_paragraph")).otherwise(F.col("by_line"))
+    marked = docs.select("doc_id", _marked(text).alias("marked"))
+    named = marked.select("doc_id", F.size(F.filter(F.split("marked", "[|~]+"), lambda x: F.trim(x) != "")).cast("long").alias("n_sentences"), _identifiers(F.col("marked")).alias("ids"))
+    ids = F.col("ids")
     # Each identifier stands between slashes of its own, and what a rule consumed becomes one mark.
     state = named.select("doc_id", "n_sentences", F.array_join(ids, "/").alias("sentence_ids"), F.concat_ws("", F.transform(ids, lambda x: F.concat(F.lit("/"), x, F.lit("/")))).alias("rest"))
     steps = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(_sequence(rule).replace("/", "//")[1:-1]).alias("rule")) for name, rule in RULES])
@@ -145,11 +153,11 @@ def duckdb_sql(table: str = "documents") -> str:
     quote = lambda x: "'" + x.replace("'", "''") + "'"
     known = "MAP {" + ", ".join(f"{quote(k)}: {quote(v)}" for k, v in KNOWN.items()) + "}"
     escape = lambda x: "E" + quote(x.replace("\\", "\\\\").replace("\n", "\\n").replace("\t", "\\t").replace("\r", "\\r"))
-    cut = lambda ends: f"string_split(regexp_replace(regexp_replace(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), {escape(ends[0])}, '|', 'g'), '{REST[0]}', ' ', 'g'), '|')"
-    ids = lambda c: f"list_transform(list_filter(list_transform({c}, lambda x: trim(x)), lambda x: x IN ({', '.join(map(quote, KNOWN))})), lambda x: ({known})[x])"
-    sql = f"""WITH cut AS (SELECT doc_id, {cut(LINES)} AS lines, {cut(WRAPPED)} AS wrapped FROM {table}),
-named AS (SELECT doc_id, CAST(len(list_filter(lines, lambda x: trim(x) <> '')) AS BIGINT) AS n_sentences, {ids("lines")} AS by_line, {ids("wrapped")} AS by_paragraph FROM cut),
-s0 AS (SELECT doc_id, n_sentences, CASE WHEN len(by_paragraph) > len(by_line) THEN by_paragraph ELSE by_line END AS ids FROM named),
+    cut = f"replace(regexp_replace(translate(coalesce(text, ''), '{UPPER}~', '{LOWER} '), {escape(ENDS[0])}, '|', 'g'), E'\\n', '~')"
+    marked = f"'|' || regexp_replace(trim(regexp_replace({cut}, '{REST[0]}', ' ', 'g'), ' '), '{MARKS}', '\\1\\1', 'g') || '|'"
+    ids = f"list_transform(regexp_extract_all(marked, '{_pattern()}'), lambda x: ({known})[trim(regexp_replace(x, '[|~]+', ' ', 'g'), ' ')])"
+    sql = f"""WITH cut AS (SELECT doc_id, {marked} AS marked FROM {table}),
+s0 AS (SELECT doc_id, CAST(len(list_filter(regexp_split_to_array(marked, '[|~]+'), lambda x: trim(x) <> '')) AS BIGINT) AS n_sentences, {ids} AS ids FROM cut),
 r0 AS (SELECT doc_id, n_sentences, ids, coalesce(list_aggregate(list_transform(ids, lambda x: '/' || x || '/'), 'string_agg', ''), '') AS rest, CAST([] AS VARCHAR[]) AS found FROM s0)"""
     for i, (name, rule) in enumerate(RULES):
         sequence = _sequence(rule).replace("/", "//")[1:-1]
