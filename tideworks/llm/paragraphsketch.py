@@ -3,8 +3,8 @@
 A table has three parts of cells; a digest goes to one cell of each part, and a cell keeps how many it got, the XOR of
 the digests and the XOR of their check hashes.  Tables of two versions subtract cell by cell, which leaves only the
 digests in which they differ; cells that hold one digest give it up, it is taken from its other cells, and so on until
-all cells are empty.  Where that fails, digests are split four ways by further bits and each part gets a table of its
-own: the same method on four times the cells, as often as needed.
+all cells are empty.  Where the fingerprints' own tables fail, larger ones take their place: digests are split four
+ways by further bits and each part gets a table of its own, the same method on four times the cells, as often as needed.
 """
 
 from __future__ import annotations
@@ -105,10 +105,11 @@ def peel(cells: Column, s: Sketch) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(s.rounds)), start, walk, finish)
 
 
-def differing(a: Column, b: Column, s: Sketch) -> Column:
-    """(only_a, only_b) of two arrays of distinct digests by tables, split in four where peeling fails.
+def differing(a: Column, b: Column, table_a: Column, table_b: Column, s: Sketch) -> Column:
+    """(only_a, only_b) of two arrays of distinct digests by their tables, or if these fail to peel, by larger ones.
 
-    After the last split, into 4**splits parts, what still shares cells is compared exactly.
+    The larger tables are those of digests split in four, as often as it takes for a cell per digest and for all parts
+    to peel.  After the last split, into 4**splits parts, what still shares cells is compared exactly.
     """
 
     def level(x: Column, y: Column, depth: int) -> Column:
@@ -123,23 +124,23 @@ def differing(a: Column, b: Column, s: Sketch) -> Column:
             return _let(_let(parts, sub), lambda r: F.struct((acc["only_a"] + r["only_a"]).alias("only_a"), (acc["only_b"] + r["only_b"]).alias("only_b")))
 
         zero = F.struct(F.lit(0).alias("only_a"), F.lit(0).alias("only_b"))
-        # A first table has a cell for each digest of both; more are split before any is tried.
+        # Of larger tables the first that is tried has a cell for each digest of both.
         tried = F.when(F.size(x) + F.size(y) <= 3 * s.part, peel(subtract(table(x, s), table(y, s)), s))
         return F.coalesce(tried, F.aggregate(F.sequence(F.lit(0), F.lit(3)), zero, add))
 
-    return level(a, b, 0)
+    return F.coalesce(peel(subtract(table_a, table_b), s), level(a, b, 0))
 
 
-def likeness(a: Column, b: Column, s: Sketch) -> Column:
+def likeness(a: Column, b: Column, table_a: Column, table_b: Column, s: Sketch) -> Column:
     """Shared share of the paragraphs of both, from the sizes of what differs; 1 if neither has any."""
     shared = lambda d: F.when(F.size(a) + d["only_b"] == 0, F.lit(1.0)).otherwise((F.size(a) - d["only_a"]) / (F.size(a) + d["only_b"]))
-    return _let(differing(a, b, s), shared)
+    return _let(differing(a, b, table_a, table_b, s), shared)
 
 
-def fingerprint(keys: Column, s: Sketch) -> Column:
+def fingerprint(keys: Column, cells: Column) -> Column:
     """The table in text: the number of digests, then each cell's count, digests and checks (32 bits) in hexadecimal."""
     cell = lambda x: F.when(x["n"] == 0, F.lit("0")).otherwise(F.concat_ws(".", x["n"].cast("string"), F.hex(x["k"]), F.hex(x["c"].bitwiseAND(F.lit(0xFFFFFFFF)))))
-    return F.concat_ws(",", F.size(keys).cast("string"), F.transform(table(keys, s), cell))
+    return F.concat_ws(",", F.size(keys).cast("string"), F.transform(cells, cell))
 
 
 def with_next(docs: DataFrame, columns: list[str], parts: int | None = None) -> DataFrame:
@@ -179,18 +180,20 @@ def version_fingerprints(docs: DataFrame, sketch: Sketch | None = None) -> DataF
 
     The edited text is the text with its last quarter of characters replaced by as many from the start of the next
     document (see with_next).  Null counts as the empty text, which has no paragraphs; two texts without paragraphs are
-    alike (1).  Repeated rows are each other's neighbours.
+    alike (1).  Repeated rows are each other's neighbours.  Texts may be of any length; no column but doc_id and text is
+    read, whatever its name.
     """
     s = sketch or Sketch()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    texts = texts.withColumn("keys", paragraphs(F.col("text"), s.paragraph_end))
+    texts = texts.withColumn("keys", paragraphs(F.col("text"), s.paragraph_end)).withColumn("cells", table(F.col("keys"), s))
     n = F.char_length("text")
     quarter = F.floor(n / 4).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - quarter), F.substring(F.col("next")["text"], F.lit(1), quarter))
-    rows = with_next(texts, ["text", "keys"]).select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), "keys", F.col("next")["keys"].alias("next_keys"))
-    rows = rows.withColumn("edited_keys", paragraphs(F.col("edited"), s.paragraph_end))
+    rows = with_next(texts, ["text", "keys", "cells"]).select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), "keys", "cells", F.col("next")["keys"].alias("next_keys"), F.col("next")["cells"].alias("next_cells"))
+    rows = rows.withColumn("edited_keys", paragraphs(F.col("edited"), s.paragraph_end)).withColumn("edited_cells", table(F.col("edited_keys"), s))
+    keys, cells = F.col("keys"), F.col("cells")
     return rows.select(
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
-        fingerprint(F.col("keys"), s).alias("fingerprint"), fingerprint(F.col("edited_keys"), s).alias("edited_fingerprint"),
-        likeness(F.col("keys"), F.col("edited_keys"), s).alias("near_edited"), likeness(F.col("keys"), F.col("next_keys"), s).alias("near_next"),
+        fingerprint(keys, cells).alias("fingerprint"), fingerprint(F.col("edited_keys"), F.col("edited_cells")).alias("edited_fingerprint"),
+        likeness(keys, F.col("edited_keys"), cells, F.col("edited_cells"), s).alias("near_edited"), likeness(keys, F.col("next_keys"), cells, F.col("next_cells"), s).alias("near_next"),
     )
