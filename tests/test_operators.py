@@ -3,10 +3,12 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from tideworks import session
 from tideworks.operators import iterate as fix
 from tideworks.operators import multiset as ms
 from tideworks.operators import relational as rel
 from tideworks.operators import windows as win
+from tideworks.plans import auctions as nex
 from tideworks.plans import workloads as wl
 from tideworks.sources import files
 
@@ -91,15 +93,51 @@ def test_reports(spark):
 
 
 def test_shared_folder_is_the_sessions(spark, monkeypatch):
-    from tideworks import session
-
     assert session.shared_folder(spark) == spark.sparkContext.getConf().get("spark.checkpoint.dir").rstrip("/")
 
     class Unset:
         conf = type("C", (), {"get": staticmethod(lambda key, default=None: default)})
         sparkContext = type("S", (), {"applicationId": "app-1", "getConf": staticmethod(dict)})
 
-    assert session.shared_folder(Unset) == session.shared_folder(Unset) != session.shared_folder(spark)
+    Unset.sparkContext.master = "local[2]"
+    assert session.shared_folder(Unset).endswith("/_scratch")
+    Unset.sparkContext.master = "spark://host:7077"  # no folder of one machine stands in
+    with pytest.raises(ValueError):
+        session.shared_folder(Unset)
+
+
+def test_stored_tables_can_be_discarded(spark):
+    table = session.materialise(spark.range(1000).toDF("id"))
+    assert table.count() == 1000
+    session.discard(table)
+    assert spark.read.parquet(table.stored_at).count() == 0
+
+
+def test_components_and_triangles_equal_brute_force(spark):
+    import random
+    from itertools import combinations
+
+    r = random.Random(4)
+    pairs = {(r.randrange(60), r.randrange(60)) for _ in range(70)}
+    edges, label = spark.createDataFrame(sorted(pairs), "src bigint, dst bigint"), list(range(60))
+    while any(label[a] != label[b] for a, b in pairs):
+        for a, b in pairs:
+            label[a] = label[b] = min(label[a], label[b])
+    assert dict(rows(wl.connected_components(spark.range(60), edges))) == dict(enumerate(label))
+    both = {frozenset(p) for p in pairs}
+    assert wl.triangles(edges).first()[0] == sum({frozenset((a, b)), frozenset((a, c)), frozenset((b, c))} <= both for a, b, c in combinations(range(60), 3))
+
+
+def test_sql_text_over_registered_views(spark):
+    from tideworks.plans import sqltexts
+    from tideworks.sources import auctions as source
+
+    events = source.batch(spark, 2000)
+    source.register_views(events)
+    persons, auctions, bids = source.views(events)
+    assert sqltexts.run(spark, "q2", divisor="7").count() == bids.where("auction % 7 = 0").count() > 0
+    assert rows(sqltexts.run(spark, "q3", category="11")) == rows(nex.q3(persons, auctions, category=11))
+    assert rows(sqltexts.run(spark, "q7")) == rows(nex.q7(bids))
 
 
 def test_fixpoints_end_whole_or_fail(spark):

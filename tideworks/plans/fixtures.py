@@ -46,12 +46,19 @@ def accident(spark: SparkSession, d: str) -> DataFrame:
 
 
 def vertices(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"))
+    return table(spark, d, "part").select(F.col("p_partkey").alias("id"))
 
 
 def edges(spark: SparkSession, d: str) -> DataFrame:
-    n = table(spark, d, "supplier").count()
-    return table(spark, d, "lineitem").where("l_linenumber = 1 and l_quantity = 1").select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") % n).alias("dst")).distinct()
+    """Of every line item an edge from its part to one that order and supplier choose; some thirty a part at any size."""
+    n = table(spark, d, "part").count()
+    return table(spark, d, "lineitem").select(F.col("l_partkey").alias("src"), ((F.col("l_orderkey") * 7 + F.col("l_suppkey")) % n).alias("dst")).distinct()
+
+
+def steps(spark: SparkSession, d: str) -> DataFrame:
+    """Of every line item an edge to the next place of its order: chains, whose closure is no larger than a few times the table."""
+    place = F.col("l_orderkey") * 10 + F.col("l_linenumber")
+    return table(spark, d, "lineitem").select((place - 1).alias("src"), place.alias("dst")).distinct()
 
 
 def points(spark: SparkSession, d: str) -> DataFrame:
@@ -67,8 +74,9 @@ SQL = {
     "listing": "SELECT user_id AS seller, CAST(round(value * 100) AS BIGINT) AS reserve, ts AS dateTime FROM events WHERE event_type = 'view'",
     "click_bid": "SELECT user_id AS auction, event_id AS bidder, CAST(round(value * 100) AS BIGINT) AS price, ts AS dateTime FROM events WHERE event_type IN ('purchase', 'click')",
     "accident": "SELECT CAST(ts AS DATE) AS date, event_type AS borough, CASE WHEN value > 113 THEN 1 ELSE 0 END AS killed, [event_type, coalesce(json_extract_string(props, '$.k'), ''), event_type, '', 'f' || coalesce(json_extract_string(props, '$.k'), '')] AS factors FROM events",
-    "vertices": "SELECT s_suppkey AS id FROM supplier",
-    "edges": "SELECT DISTINCT l_suppkey AS src, l_partkey % (SELECT count(*) FROM supplier) AS dst FROM lineitem WHERE l_linenumber = 1 AND l_quantity = 1",
+    "vertices": "SELECT p_partkey AS id FROM part",
+    "edges": "SELECT DISTINCT l_partkey AS src, (l_orderkey * 7 + l_suppkey) % (SELECT count(*) FROM part) AS dst FROM lineitem",
+    "steps": "SELECT DISTINCT l_orderkey * 10 + l_linenumber - 1 AS src, l_orderkey * 10 + l_linenumber AS dst FROM lineitem",
     "points": "SELECT vec_id AS id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings",
 }
 

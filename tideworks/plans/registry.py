@@ -13,6 +13,7 @@ from tideworks.operators import relational as rel
 from tideworks.operators import windows as win
 from tideworks.plans import auctions as nex
 from tideworks.plans import fixtures as fx
+from tideworks.plans import sqltexts
 from tideworks.plans import workloads as wl
 from tideworks.sources import auctions as source
 from tideworks.sources import graphs
@@ -103,6 +104,25 @@ add("kmeans", _centres, fx.sql(f"SELECT CAST(c AS BIGINT) AS id, round(x, 6) AS
 add("kmeans_sizes", lambda s, d: wl.kmeans(fx.points(s, d), CENTRES, ROUNDS)[1].groupBy(F.col("centre").cast("long").alias("centre")).agg(F.count("*").alias("points")), fx.sql(f"SELECT CAST(c AS BIGINT) AS centre, count(*) AS points FROM a{ROUNDS} GROUP BY c", "points", more=_KMEANS))
 add("collatz", lambda s, d: wl.collatz(s.range(1, 2000).withColumnRenamed("id", "n")), "WITH RECURSIVE t AS (SELECT range AS n, range AS v, 0::BIGINT AS steps FROM range(1, 2000) UNION ALL SELECT n, CASE WHEN v % 2 = 0 THEN v // 2 ELSE 3 * v + 1 END, steps + 1 FROM t WHERE v > 1 AND steps < 1000), m AS (SELECT n, max(steps) AS steps FROM t GROUP BY n) SELECT steps, n FROM m ORDER BY steps DESC, n DESC LIMIT 1")
 
+# The auction queries as SQL text.
+
+_TEXTS = {
+    "q0": ("nexmark_q0", ("bid",), {}), "q1": ("nexmark_q1", ("bid",), {}), "q2": ("nexmark_q2", ("bid",), {}),
+    "q3": ("nexmark_q3", ("auction", "person"), {"states": "'BUILDING', 'MACHINERY'"}), "q4": ("nexmark_q4_sql", ("auction", "bid"), {}),
+    "q5": ("nexmark_q5", ("click_bid",), {"size": SIZE, "slide": SLICE}), "q6": ("nexmark_q6_sql", ("auction", "bid"), {}),
+    "q7": ("nexmark_q7", ("click_bid",), {"size": SIZE}), "q8": ("nexmark_q8", ("signup", "listing"), {"size": DAY}),
+}
+_VIEWS = {"click_bid": "bid", "signup": "person", "listing": "auction"}
+
+
+def _text(name: str, tables: tuple[str, ...], settings: dict[str, str]) -> Query:
+    return lambda s, d: sqltexts.run(s, name, {_VIEWS.get(t, t): getattr(fx, t)(s, d) for t in tables}, **settings)
+
+
+for _name, (_same, _tables, _settings) in _TEXTS.items():
+    add(f"sql_{_name}", _text(_name, _tables, _settings), SQL[_same])
+
+
 # Graphs.
 
 _LINKS = "links AS (SELECT src, dst, count(*) OVER (PARTITION BY src) AS degree FROM edges), size AS (SELECT count(*) AS n FROM vertices)"
@@ -125,8 +145,8 @@ _rounded = lambda f: lambda v, e, n: f(v, e, n).withColumn("rank", F.round("rank
 add("pagerank", _graph(_rounded(wl.pagerank), ROUNDS), fx.sql(f"SELECT id AS page, round(rank, 9) AS rank FROM r{ROUNDS}", "vertices", "edges", more=_ALL))
 add("pagerank_inlinks", _graph(_rounded(wl.pagerank_inlinks), ROUNDS), fx.sql(f"SELECT id AS page, round(rank, 9) AS rank FROM r{ROUNDS}", "vertices", "edges", more=_IN))
 add("pagerank_integer", _graph(wl.pagerank_integer, ROUNDS), fx.sql(f"SELECT id AS node, rank FROM r{ROUNDS}", "vertices", "edges", more=_INT))
-add("connected_components", _graph(wl.connected_components), fx.sql("SELECT id AS vertex, min(component) AS component FROM reach GROUP BY id", "vertices", "edges", recursive=True, more="both_ways AS (SELECT src AS a, dst AS b FROM edges UNION SELECT dst, src FROM edges), reach AS (SELECT id, id AS component FROM vertices UNION SELECT b, component FROM reach JOIN both_ways ON a = id)"))
-add("transitive_closure", lambda s, d: wl.transitive_closure(fx.edges(s, d)), fx.sql("SELECT x, y FROM paths WHERE x <> y", "edges", recursive=True, more="paths AS (SELECT src AS x, dst AS y FROM edges UNION SELECT x, dst FROM paths JOIN edges ON src = y)"))
+add("connected_components", _graph(wl.connected_components))  # SQL would walk from every vertex to every other
+add("transitive_closure", lambda s, d: wl.transitive_closure(fx.steps(s, d)), fx.sql("SELECT x, y FROM paths WHERE x <> y", "steps", recursive=True, more="paths AS (SELECT src AS x, dst AS y FROM steps UNION SELECT x, dst FROM paths JOIN steps ON src = y)"))
 add("triangles", lambda s, d: wl.triangles(fx.edges(s, d)), fx.sql("SELECT count(*) AS triangles FROM e p JOIN e q ON p.b = q.a JOIN e r ON r.a = p.a AND r.b = q.b", "edges", more="e AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM edges WHERE src <> dst)"))
 
 # Single operators.
