@@ -4,9 +4,10 @@ import hashlib
 import os
 
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tests.llm.cases import ROWS, SCHEMA
+from tests.llm.cases import ROWS, SCHEMA, clashing, prose
 from tests.llm.test_jaccard import plain as near
 from tests.llm.test_mixing import plain_targets
 from tests.llm.test_passages import plain as passages
@@ -79,6 +80,17 @@ def test_all_odd_rows_and_none(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path / "b")).count() == 0
 
 
+def test_stages_keep_columns_of_clashing_names_and_long_texts(spark, tmp_path):
+    names = ["kept", "digest", "slice", "id", "c0", "row", "size", "copies"]
+    long = spark.createDataFrame([(500, prose(77, 150_000, 90_000), "en", "a", 1)], SCHEMA).withColumns({n: F.lit("kept") for n in names})
+    docs = clashing(spark, names).unionByName(long)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        columns = docs.columns
+        stage(spark, docs, "").write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        assert docs.columns == columns and docs.where("doc_id = 500").count() > 0 and {r[0] for r in docs.select(*names).distinct().collect()} == {"kept"}
+
+
 def test_stages():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near_duplicates", "shared_passages", "mix", "encode"]
     assert passages([]) == []

@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from tideworks.llm import textbytes as tb
 from tideworks.llm.shared import batch_of, cuts_of, pack, pieces, read_rows, sliced, stored, unpack
 
-SLICE = 4 << 20
-BUCKET_BYTES = 8 << 20
+SLICE = 3 << 20
+BUCKET_BYTES = 6 << 20
 PIECE = 32  # words of a source that one digest covers at most
 EDGES = "bucket bigint, slice bigint, gaps binary, hashes binary, first_id bigint, last_id bigint, first_end bigint, last_begin bigint, source binary, sizes binary"
 SOURCES = "slice bigint, places binary, sizes binary, src_slice binary, source binary"

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from tideworks.llm import textbytes as tb
 
 WINDOW = 8
+SLICE = 1 << 20
 IS_SYMBOL = np.zeros(256, bool)
 IS_SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
 
@@ -202,7 +203,7 @@ def repetition_figures(docs: DataFrame, rules: RepetitionRules | None = None, *,
 
     def figures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = [measure(d, o, rules) for _, _, d, o in tb.slices(*tb.column(batch))]
+            parts = [measure(d, o, rules) for _, _, d, o in tb.slices(*tb.column(batch), SLICE)]
             if not parts:
                 continue
             if passed_only:
