@@ -6,9 +6,22 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from tideworks.plans import auctions as nex
 from tideworks.plans import registry
+from tideworks.session import scratch_path
+from tideworks.streaming import processors, runs, tables
 
 T0 = datetime(2024, 1, 1)
+AUCTION = "id bigint, seller bigint, category bigint, reserve bigint, dateTime timestamp, expires timestamp"
+BID = "auction bigint, bidder bigint, price bigint, dateTime timestamp"
+
+
+def at(seconds):
+    return T0 + timedelta(seconds=seconds)
+
+
+def rows(df):
+    return sorted(map(str, df.collect()))
 
 
 @pytest.fixture
@@ -23,7 +36,7 @@ def odd_tables(spark, tmp_path):
     return str(tmp_path)
 
 
-@pytest.mark.parametrize("name", ["stream_q4"])
+@pytest.mark.parametrize("name", ["stream_winning_bids", "stream_q4"])
 def test_streams_of_odd_rows_equal_sql(spark, odd_tables, name):
     con = duckdb.connect()
     for t in ("orders", "lineitem"):
@@ -32,3 +45,55 @@ def test_streams_of_odd_rows_equal_sql(spark, odd_tables, name):
     columns = [c[0] for c in want.description]
     expected = sorted(map(str, want.fetchall()))
     assert expected and sorted(str(tuple(r)) for r in registry.QUERIES[name](spark, odd_tables).select(*columns).collect()) == expected
+
+
+@pytest.fixture
+def parts():
+    """What comes in each of five micro-batches: auctions and bids, and the auctions that are closed after it."""
+    auctions = [(i, i % 2, 10, 5, at(begin), at(100 * i)) for i, begin in enumerate((0, 60, 60, 200), 1)]
+    return [
+        ([auctions[0]], [(1, 1, 9, at(1)), (2, 1, 7, at(61)), (2, 2, 7, at(61))], []),  # bids before their auctions
+        ([auctions[1], auctions[2]], [(1, 2, 9, at(99)), (1, 3, 10, at(100)), (3, 1, 6, at(104))], [1]),
+        ([], [(1, 4, 50, at(50)), (2, 3, 8, at(150)), (3, 1, 4, at(160))], [1]),  # the first is late
+        ([auctions[3]], [(2, 4, 8, at(157)), (4, 8, 5, at(210)), (9, 1, 99, at(290))], [1, 2]),
+        ([], [(3, 2, 6, at(299)), (4, 9, 5, at(399)), (9, 1, 99, at(900))], [1, 2, 3, 4]),
+    ]
+
+
+def test_windows_close_over_several_batches(spark, parts):
+    """Each auction comes out once, in the batch whose watermark passes its end; a batch that is run again gives the same."""
+    rule = tables.WinningBids(scratch_path(spark, "w"))
+    frames = [processors.auctions_and_bids(spark.createDataFrame(a, AUCTION), spark.createDataFrame(b, BID)) for a, b, _ in parts]
+    on_time = [b for n, (_, bids, _) in enumerate(parts) for b in bids if (n, b[1]) != (2, 4)]
+    auctions = [a for x, _, _ in parts for a in x]
+    want = nex.winning_bids(spark.createDataFrame(auctions, AUCTION), spark.createDataFrame(on_time, BID))
+    found = []
+    for number, batch in enumerate(frames):
+        won = rule(batch, number).collect()
+        if number in (0, 2):
+            assert rule(batch, number).collect() == won
+        found += won
+        assert sorted(r.id for r in found) == parts[number][2]
+    assert sorted(map(str, found)) == rows(want)
+    assert {r.id: r.bidder for r in found} == {1: 1, 2: 3, 3: 1, 4: 8}
+
+
+def test_bids_without_auctions_leave(spark):
+    rule = tables.WinningBids(scratch_path(spark, "w"), orphan_days=1)
+    bid = lambda *b: processors.auctions_and_bids(spark.createDataFrame([], AUCTION), spark.createDataFrame(list(b), BID))
+    kept = lambda n: {r.id for r in rule.tables.read(spark, "bids", n, tables.BEST).collect()}
+    for number, batch in enumerate([bid((1, 1, 5, at(0)), (2, 1, 5, at(90_000))), bid((3, 1, 5, at(90_001))), bid((4, 1, 5, at(90_002)))]):
+        assert rule(batch, number).count() == 0
+    assert kept(2) == {2, 3, 4}
+
+
+def test_timers_and_tables_agree(spark, parts):
+    """The operator by key and timer over the same rows."""
+    folder = scratch_path(spark, "in")
+    every = [(spark.createDataFrame(a, AUCTION), spark.createDataFrame(b, BID)) for a, b, _ in (([x for p in parts for x in p[0]], [x for p in parts for x in p[1]], []),)]
+    every[0][0].write.parquet(f"{folder}/a")
+    every[0][1].write.parquet(f"{folder}/b")
+    stream = lambda name, kind: spark.readStream.schema(kind).parquet(f"{folder}/{name}")
+    timers = runs.finished(processors.winning_bids(stream("a", AUCTION), stream("b", BID)))
+    both = runs.finished(processors.auctions_and_bids(stream("a", AUCTION), stream("b", BID)), each=tables.WinningBids(scratch_path(spark, "w")))
+    assert rows(timers) == rows(both.select(*timers.columns)) and both.count() == 4
