@@ -36,7 +36,7 @@ def odd_tables(spark, tmp_path):
     return str(tmp_path)
 
 
-@pytest.mark.parametrize("name", ["stream_winning_bids", "stream_q4"])
+@pytest.mark.parametrize("name", ["stream_winning_bids", "stream_q4", "stream_q6"])
 def test_streams_of_odd_rows_equal_sql(spark, odd_tables, name):
     con = duckdb.connect()
     for t in ("orders", "lineitem"):
@@ -62,19 +62,21 @@ def parts():
 
 def test_windows_close_over_several_batches(spark, parts):
     """Each auction comes out once, in the batch whose watermark passes its end; a batch that is run again gives the same."""
-    rule = tables.WinningBids(scratch_path(spark, "w"))
+    rule, means = tables.WinningBids(scratch_path(spark, "w")), tables.LastMeans(scratch_path(spark, "m"), 2)
     frames = [processors.auctions_and_bids(spark.createDataFrame(a, AUCTION), spark.createDataFrame(b, BID)) for a, b, _ in parts]
     on_time = [b for n, (_, bids, _) in enumerate(parts) for b in bids if (n, b[1]) != (2, 4)]
     auctions = [a for x, _, _ in parts for a in x]
     want = nex.winning_bids(spark.createDataFrame(auctions, AUCTION), spark.createDataFrame(on_time, BID))
-    found = []
+    found, averages = [], []
     for number, batch in enumerate(frames):
         won = rule(batch, number).collect()
         if number in (0, 2):
             assert rule(batch, number).collect() == won
         found += won
         assert sorted(r.id for r in found) == parts[number][2]
+        averages += means(spark.createDataFrame(won, tables.BEST), number).collect()
     assert sorted(map(str, found)) == rows(want)
+    assert {r.id: r.avg_price for r in averages} == {1: 9.0, 2: 8.0, 3: 7.5, 4: 6.5}
     assert {r.id: r.bidder for r in found} == {1: 1, 2: 3, 3: 1, 4: 8}
 
 
@@ -97,3 +99,7 @@ def test_timers_and_tables_agree(spark, parts):
     timers = runs.finished(processors.winning_bids(stream("a", AUCTION), stream("b", BID)))
     both = runs.finished(processors.auctions_and_bids(stream("a", AUCTION), stream("b", BID)), each=tables.WinningBids(scratch_path(spark, "w")))
     assert rows(timers) == rows(both.select(*timers.columns)) and both.count() == 4
+    follow = both.withColumns({c: F.col(c).cast("timestamp") for c in ("dateTime", "expires", "bidTime")})
+    follow.write.parquet(f"{folder}/won")
+    won = lambda: spark.readStream.schema(follow.schema).parquet(f"{folder}/won")
+    assert rows(runs.finished(processors.last_means(won(), 2))) == rows(runs.finished(won(), each=tables.LastMeans(scratch_path(spark, "m"), 2)))
