@@ -47,6 +47,55 @@ def test_streams_of_odd_rows_equal_sql(spark, odd_tables, name):
     assert expected and sorted(str(tuple(r)) for r in registry.QUERIES[name](spark, odd_tables).select(*columns).collect()) == expected
 
 
+def test_winning_bids_read_each_row_once(spark, odd_tables, monkeypatch):
+    """What a micro-batch does with its rows shares one reading and one shuffle of them."""
+    read, plans, streamed, write = spark.sparkContext.accumulator(0), {}, runs.streamed, tables.Tables.write
+
+    def counted(_):
+        read.add(1)
+        return True
+
+    def planned(self, df, name, number):
+        plans[name, number] = df._jdf.queryExecution().executedPlan().toString()
+        return write(self, df, name, number)
+
+    count = F.udf(counted, "boolean").asNondeterministic()
+    monkeypatch.setattr(runs, "streamed", lambda *args: streamed(*args).where(count(F.lit(0))))
+    monkeypatch.setattr(tables.Tables, "write", planned)
+    monkeypatch.setattr(runs, "ROWS", 20)
+    found = runs.winning(spark, odd_tables).count()
+    assert found and read.value == sum(spark.read.parquet(f"{odd_tables}/{t}.parquet").count() + 1 for t in ("orders", "lineitem"))
+    assert "Exchange hashpartitioning" not in plans["bids", 0] and "ExistingRDD" not in plans["open", 0]
+    assert (spark.conf.get("spark.sql.adaptive.enabled"), spark.conf.get("spark.sql.shuffle.partitions")) == ("true", "4")
+
+
+def test_stream_of_several_micro_batches(spark, tmp_path, monkeypatch):
+    """Auctions stay open over micro-batches with and without bids; bids are not dealt out again beside those that were kept."""
+    write, plans = tables.Tables.write, {}
+
+    def planned(self, df, name, number):
+        plans[name, number] = df._jdf.queryExecution().executedPlan().toString()
+        return write(self, df, name, number)
+
+    monkeypatch.setattr(tables.Tables, "write", planned)
+    auctions = [[(k, 1, 10, 1, at(100 * n), at(100 * n + 250)) for k in range(10 * n, 10 * n + 10)] for n in range(4)] + [[(99, 1, 10, 1, at(9000), at(9001))]]
+    bids = [[(99, 1, 1, at(0))], *[[(k, n, n, at(100 * n + k)) for k in range(40)] for n in (1, 2, 3)], [(98, 1, 1, at(9000))]]
+    for n, (a, b) in enumerate(zip(auctions, bids, strict=True)):
+        spark.createDataFrame(a, AUCTION).coalesce(1).write.parquet(f"{tmp_path}/a/{n}")
+        spark.createDataFrame(b, BID).coalesce(1).write.parquet(f"{tmp_path}/b/{n}")
+    stream = lambda name, kind: spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/{name}/*")
+    both = processors.auctions_and_bids(stream("a", AUCTION), stream("b", BID)).repartition("id")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = runs.finished(both, each=tables.WinningBids(scratch_path(spark, "w")), spark_sql_adaptive_enabled="false")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    want = nex.winning_bids(spark.createDataFrame([x for a in auctions[:4] for x in a], AUCTION), spark.createDataFrame([x for b in bids for x in b], BID))
+    assert rows(found) == rows(want) and found.count() == 40
+    assert [plans["bids", n].count("ENSURE_REQUIREMENTS") for n in range(5)] == [0, 1, 1, 1, 1]
+
+
 @pytest.fixture
 def parts():
     """What comes in each of five micro-batches: auctions and bids, and the auctions that are closed after it."""
